@@ -21,14 +21,21 @@ from priorform.operators.cleaning import plain_double
 from priorform.operators.literals import literal_rows
 
 
-def category(df: DataFrame, c: str) -> Column:
-    """A category as text with missing values turned into the "0" category.
+def missing_text(df: DataFrame, c: str) -> Column:
+    """The level that missing values of a category count as.
 
-    In a text column that category is apart from the text "0", as the number 0 is.
+    It is zero for a number. In a text column it is a level of its own, apart from the
+    text "0" (as the number 0 is), written as a character that no text holds.
     """
-    if isinstance(df.schema[c].dataType, NumericType):
-        return F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)).cast("string")
-    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("0"))
+    kind = df.schema[c].dataType
+    if isinstance(kind, NumericType):
+        return F.lit(0).cast(kind).cast("string")
+    return F.lit("\x00")
+
+
+def category(df: DataFrame, c: str) -> Column:
+    """A category as text with missing values as in :func:`missing_text`."""
+    return F.coalesce(F.col(c).cast("string"), missing_text(df, c))
 
 
 def nominal_from_cells(
