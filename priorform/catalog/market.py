@@ -188,3 +188,47 @@ SQL_TABLES = {
 def sql_with(*names: str) -> str:
     """``with`` clause that defines the named game tables."""
     return "with " + ",\n".join([_SIDES.strip(), *[SQL_TABLES[n] for n in names]])
+
+
+def customer_games(t: Tables) -> DataFrame:
+    """One appearance per order: the customer as batter, line counts summed."""
+    names = ("atBat", "Hit", "Walk", "Home_Run")
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("game_id")).agg(
+        F.min("l_suppkey").alias("team_id"),
+        *[F.sum(F.expr(LINE_COUNTS[n])).cast("bigint").alias(n) for n in names],
+    )
+    who = t.orders.select(F.col("o_orderkey").alias("game_id"), F.col("o_custkey").alias("batter"))
+    return lines.join(who, on="game_id", how="inner")
+
+
+def dated_orders(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").alias("game_id"), F.col("o_orderdate").alias("local_date"))
+
+
+def player_games(t: Tables) -> DataFrame:
+    """One appearance per part and order."""
+    return pitcher_counts(t).withColumnRenamed("pitcher", "batter")
+
+
+def descriptions(t: Tables) -> DataFrame:
+    return t.customer.select(
+        F.col("c_custkey").alias("batter"), F.concat_ws(" ", "c_mktsegment", "c_name", F.lit("singles")).alias("des")
+    )
+
+
+def teams(t: Tables) -> DataFrame:
+    return t.supplier.select(F.col("s_suppkey").alias("team_id"), F.col("s_name").alias("name_brief"))
+
+
+CUSTOMER_GAMES_SQL = """customer_games as (
+  select l_orderkey as game_id, o_custkey as batter, min(l_suppkey) as team_id, """ + ", ".join(
+    f"cast(sum({LINE_COUNTS[n]}) as bigint) as {n}" for n in ("atBat", "Hit", "Walk", "Home_Run")
+) + """
+  from lineitem join orders on o_orderkey = l_orderkey group by l_orderkey, o_custkey
+),
+names as (select c_custkey as batter, c_mktsegment || ' ' || c_name as name from customer),
+batter_games as (
+  select batter as batter_id, team_id as teamid, game_id as game, atBat as AB, Hit as hit, Walk as walk, Home_Run as HR,
+         case when atBat = 0 then 0.0 else Hit / cast(atBat as double) end as bavg, cast(o_orderdate as date) as local_date
+  from customer_games join orders on o_orderkey = game_id where o_orderdate is not null
+)"""

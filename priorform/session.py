@@ -35,6 +35,7 @@ def local_session(cpus: int | None = None, app: str = "priorform", **conf: str)
         "spark__master": f"local[{cpus}]",
         "spark__sql__shuffle__partitions": str(cpus),
         "spark__ui__enabled": "false",
+        "spark__ui__showConsoleProgress": "false",
         "spark__driver__memory": "12g",
         **conf,
     }
