@@ -139,7 +139,7 @@ def classify_columns(t: Tables) -> DataFrame:
 @query(
     "truthy_response",
     """
-select o_orderkey, case when o_orderstatus = 'F' then 1.0 when o_orderstatus = 'O' then 0.0 end as response,
+select o_orderkey, cast(case when o_orderstatus = 'F' then 1 when o_orderstatus = 'O' then 0 end as double) as response,
        case when o_orderstatus = 'F' then 1 else 0 end as number from orders""",
 )
 def truthy_response(t: Tables) -> DataFrame:

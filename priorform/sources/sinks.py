@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,3 +33,21 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
 def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     """All rows but those where the predicate is true (unknown keeps the row)."""
     return df.where(~F.coalesce(predicate, F.lit(False)))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint a stage that several jobs read, in the folder ``spark.checkpoint.dir`` names.
+
+    The data survives the loss of executors. Only a local session without that setting
+    gets a folder of its own; on a cluster the setting is required, because a folder of
+    one machine is not shared.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="priorform-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
