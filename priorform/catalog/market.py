@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorform.plans.game_features import GameTables
+from priorform.sources.sinks import stage
 from priorform.sources.tables import Tables
 
 # Count -> SQL over a line, valid in both engines.
@@ -57,6 +58,7 @@ def sides(t: Tables) -> DataFrame:
 
 
 def game(t: Tables) -> DataFrame:
+    """Games with both sides; stored, as the table it stands for would be."""
     team = t.supplier.select(
         F.col("s_suppkey").alias("k"),
         F.col("s_nationkey").cast("bigint").alias("w"),
@@ -73,9 +75,9 @@ def game(t: Tables) -> DataFrame:
     )
 
 
-def batter_counts(t: Tables) -> DataFrame:
+def batter_counts(t: Tables, games: DataFrame | None = None) -> DataFrame:
     """Lines with counts; the flag is 1 for the home supplier, 0 for the away one, else NULL."""
-    who = sides(t).select("game_id", "home_team_id", "away_team_id")
+    who = (sides(t) if games is None else games).select("game_id", "home_team_id", "away_team_id")
     lines = t.lineitem.select(
         F.col("l_orderkey").alias("game_id"),
         F.col("l_suppkey").alias("team_id"),
@@ -93,16 +95,16 @@ def pitcher_counts(t: Tables) -> DataFrame:
     )
 
 
-def team_results(t: Tables) -> DataFrame:
+def team_results(t: Tables, games: DataFrame) -> DataFrame:
     """Open orders are lost, filled ones won; pending orders have no result."""
-    done = t.orders.where(F.col("o_orderstatus").isin("F", "O"))
-    return done.join(sides(t), done["o_orderkey"] == F.col("game_id")).select(
-        "game_id", F.col("home_team_id").alias("team_id"),
-        F.when(F.col("o_orderstatus") == "F", "W").otherwise("L").alias("win_lose"),
+    done = t.orders.where(F.col("o_orderstatus").isin("F", "O")).select(
+        F.col("o_orderkey").alias("game_id"), F.when(F.col("o_orderstatus") == "F", "W").otherwise("L").alias("win_lose")
     )
+    known = games.where(F.col("home_team_id").isNotNull()).select("game_id", F.col("home_team_id").alias("team_id"))
+    return done.join(known, on="game_id")
 
 
-def pregame_detail(t: Tables) -> DataFrame:
+def pregame_detail(t: Tables, games: DataFrame) -> DataFrame:
     part = t.part.select(
         F.col("p_partkey").alias("k"), F.col("p_type").alias("throwinghand"),
         (F.col("p_size") - F.length("p_name")).cast("bigint").alias("streak"),
@@ -112,7 +114,7 @@ def pregame_detail(t: Tables) -> DataFrame:
     )
     home, away = (part.select(*[F.col(c).alias(f"{side}_{c}") for c in part.columns]) for side in ("home", "away"))
     return (
-        sides(t).select("game_id", "home_pitcher", "away_pitcher")
+        games.select("game_id", "home_pitcher", "away_pitcher")
         .join(home, on=F.col("home_pitcher") == F.col("home_k"), how="left")
         .join(away, on=F.col("away_pitcher") == F.col("away_k"), how="left")
         .drop("home_pitcher", "away_pitcher", "home_k", "away_k")
@@ -129,9 +131,10 @@ def pregame_odds(t: Tables) -> DataFrame:
 
 
 def game_tables(t: Tables) -> GameTables:
+    games = stage(game(t))
     return GameTables(
-        game=game(t), pitcher_counts=pitcher_counts(t), batter_counts=batter_counts(t),
-        team_results=team_results(t), pregame_detail=pregame_detail(t), pregame_odds=pregame_odds(t),
+        game=games, pitcher_counts=pitcher_counts(t), batter_counts=batter_counts(t, games),
+        team_results=team_results(t, games), pregame_detail=pregame_detail(t, games), pregame_odds=pregame_odds(t),
     )
 
 

@@ -9,27 +9,27 @@ from pyspark.sql import functions as F
 
 # Keys sampled per range when split points are chosen.
 SAMPLES_PER_RANGE = 32
-
-
-def default_parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# Aimed-at rows per range; a table of no more rows than this is one range.
+ROWS_PER_RANGE = 250_000
+# Most ranges, which bounds what the driver holds: samples and one offset per range.
+MAX_RANGES = 4096
 
 
 def _key_struct(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
 
 
-def range_bucket(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> Column:
-    """A column 0..parts-1 that splits the rows into ascending key ranges.
+def range_bucket(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> Column | None:
+    """A column 0..parts-1 that splits the rows into ascending key ranges; None for one range.
 
     Split points come from a hash sample of distinct keys: a bounded number of key values
     reaches the driver. They only balance the work; any points give the same results.
     The bucket is a function of the row alone, so a recomputed task lands it the same.
     """
-    parts = parts or default_parts(df)
-    if parts <= 1:
-        return F.lit(0)
     total = df.count()
+    parts = parts or min(MAX_RANGES, -(-total // ROWS_PER_RANGE))
+    if parts <= 1:
+        return None
     every = max(1, total // (parts * SAMPLES_PER_RANGE))
     sample = df.select(*keys)
     if every > 1:
@@ -46,7 +46,7 @@ def range_bucket(df: DataFrame, keys: Sequence[str], parts: int | None = None) -
     points.sort(key=lambda t: tuple((v is not None, v) for v in t))
     cuts = sorted({i * len(points) // parts for i in range(1, parts)} - {0})
     if not cuts:
-        return F.lit(0)
+        return None
     types = [df.schema[k].dataType for k in keys]
     bounds = F.array(
         *[
@@ -72,7 +72,12 @@ def row_index(
     Rows are split into key ranges; one small count per range gives the offsets, and rows
     are numbered inside each range. No window runs over the whole table.
     """
-    bucketed = df.withColumn("__bucket", range_bucket(df, order_by, parts))
+    bucket = range_bucket(df, order_by, parts)
+    if bucket is None:
+        # A table of checked size is numbered in one piece.
+        order = Window.partitionBy(F.lit(0)).orderBy(*order_by)
+        return df.withColumn(name, F.row_number().over(order).cast("bigint"))
+    bucketed = df.withColumn("__bucket", bucket)
     counts = {r["__bucket"]: r["n"] for r in bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, seen = [], 0
     for b in range(max(counts, default=0) + 1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 from priorform.functions.dates import first_words
 from priorform.functions.rates import col, guarded_ratio
 from priorform.operators.cleaning import plain_double
+from priorform.operators.literals import literal_rows
 from priorform.operators.ordering import range_bucket
 
-# Up to this many distinct values per column a quantile is one aggregate whose state
-# holds value counts; beyond it the values are range-partitioned and ranked.
-DENSE_LIMIT = 100_000
+# Rank error of the sketch that brackets a quantile is one part in this many.
+SKETCH_ACCURACY = 10_000
+# Groups whose brackets the driver holds; with more groups values are ranked instead.
+MAX_GROUPS = 200
 
 
 def totals(
@@ -63,6 +66,13 @@ def class_share(df: DataFrame, column: str) -> DataFrame:
     return counts.select(column, "n", (F.col("n") / total).alias("share"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys where NULL equals NULL; the keys come out once."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(renamed, on=same, how="inner").drop(*[f"__right_{k}" for k in keys])
+
+
 def _melt(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column"), plain_double(df, c).alias("value")) for c in columns]
@@ -75,12 +85,13 @@ def _label(p: float) -> str:
 
 
 def _ranked_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], parts: int | None = None
 ) -> DataFrame:
     """Quantiles by rank: value counts, range partitions, running counts, interpolation."""
     group = [*by, "column"]
     counts = _melt(df, columns, by).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("__b", range_bucket(counts, ["column", "value"]))
+    bucket = range_bucket(counts, ["column", "value"], parts)
+    counts = counts.withColumn("__b", F.lit(0) if bucket is None else bucket)
     # At most one row per range and group: the offset of each range.
     ranges = counts.groupBy(*group, "__b").agg(F.sum("n").alias("__m"))
     order = Window.partitionBy(*group).orderBy("__b")
@@ -91,10 +102,7 @@ def _ranked_quantiles(
         F.sum("__m").over(Window.partitionBy(*group)).alias("__total"),
     )
     keys = [*group, "__b"]
-    same = [counts[k].eqNullSafe(ranges[k]) for k in keys]
-    joined = counts.join(ranges, on=same, how="inner").select(
-        *[counts[k] for k in keys], "value", "n", "__before", "__total"
-    )
+    joined = join_null_safe(counts, ranges, keys)
     inside = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     upto = joined.withColumn("__upto", F.col("__before") + F.sum("n").over(inside))
     aggs = []
@@ -112,64 +120,141 @@ def _ranked_quantiles(
     return found.select(*group, *out)
 
 
+def _sketch(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> list:
+    """Per group: count, extremes, mean and bracketing approximate quantiles of each column."""
+    margin = 2.0 / SKETCH_ACCURACY
+    fractions = [f for p in probs for f in (max(0.0, p - margin), min(1.0, p + margin))]
+    aggs = []
+    for i, c in enumerate(columns):
+        v = plain_double(df, c)
+        aggs += [
+            F.count(v).alias(f"n{i}"),
+            F.min(v).alias(f"min{i}"),
+            F.max(v).alias(f"max{i}"),
+            F.avg(v).alias(f"mean{i}"),
+            F.percentile_approx(v, fractions, SKETCH_ACCURACY).alias(f"q{i}"),
+        ]
+    return df.groupBy(*by).agg(*aggs).limit(MAX_GROUPS + 1).collect()
+
+
+def _from_brackets(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], sketch: list
+) -> list[list] | None:
+    """Exact quantiles in one pass, as rows (by..., column, q...), or None if a bracket misses.
+
+    Values inside a bracket are counted one by one, the stretches between brackets as a
+    whole. Running counts over these few rows (about four in ten thousand of the values per
+    quantile, repeated ones once) give the value at each rank. A rank that falls between
+    brackets shows as a NULL.
+    """
+    kinds = [df.schema[b].dataType for b in by]
+    fields = [(f"__b{j}", k) for j, k in enumerate(kinds)]
+    slots = [(i, k) for i in range(len(columns)) for k in range(len(probs))]
+    edges = [(f"{edge}{i}_{k}", "double") for i, k in slots for edge in ("lo", "hi")]
+    table, wanted = [], []
+    for g in sketch:
+        key = [g[b] for b in by]
+        row = []
+        for i, k in slots:
+            q = g[f"q{i}"]
+            row += [q[2 * k], q[2 * k + 1]] if q else [None, None]
+        table.append([*key, *row])
+        wanted += [[*key, i, *[p * (g[f"n{i}"] - 1) for p in probs]] for i in range(len(columns)) if g[f"n{i}"]]
+    if not wanted:
+        return []
+    values = df.select(*by, *[plain_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    if by:
+        same = [F.col(b).eqNullSafe(F.col(f"__b{j}")) for j, b in enumerate(by)]
+        # One row per group, at most MAX_GROUPS.
+        brackets = F.broadcast(literal_rows(df.sparkSession, [*fields, *edges], table))
+        values = values.join(brackets, on=same, how="inner").drop(*[n for n, _ in fields])
+    else:
+        values = values.select("*", *[F.lit(v).cast("double").alias(n) for v, (n, _) in zip(table[0], edges)])
+    entries = []
+    for i in range(len(columns)):
+        v, past, inside = F.col(f"v{i}"), F.lit(0), F.lit(False)
+        for k in range(len(probs)):
+            past = past + (v > F.col(f"hi{i}_{k}")).cast("int")
+            inside = inside | v.between(F.col(f"lo{i}_{k}"), F.col(f"hi{i}_{k}"))
+        entries.append(
+            F.struct(F.lit(i).alias("i"), past.alias("past"), F.when(inside, v).alias("value"), v.alias("v"))
+        )
+    counted = (
+        values.select(*by, F.inline(F.array(*entries)))
+        .where(F.col("v").isNotNull())
+        .groupBy(*by, "i", "past", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("at"))
+    )
+    upto = Window.partitionBy(*by, "i").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = literal_rows(
+        df.sparkSession, [*fields, ("__i", "int"), *[(f"r{k}", "double") for k in range(len(probs))]], wanted
+    )
+    same = [F.col(b).eqNullSafe(F.col(f"__b{j}")) for j, b in enumerate(by)] + [F.col("i") == F.col("__i")]
+    ranked = counted.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(ranks), on=same, how="inner")
+
+    def pick(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("value")))
+
+    picks = []
+    for k in range(len(probs)):
+        at = F.col(f"r{k}")
+        picks += [pick(F.floor(at)), pick(F.ceil(at)), F.max(at)]
+    out = []
+    for r in ranked.groupBy(*by, "i").agg(*picks).collect():
+        row, found = [*r[: len(by)], columns[r[len(by)]]], r[len(by) + 1 :]
+        for k in range(len(probs)):
+            lo, hi, at = found[3 * k : 3 * k + 3]
+            if lo is None or hi is None:
+                return None
+            row.append(lo + (hi - lo) * (at - math.floor(at)))
+        out.append(row)
+    return out
+
+
 def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float] = (0.25, 0.5, 0.75),
-    *,
-    by: Sequence[str] = (),
-    dense_limit: int = DENSE_LIMIT,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75), *, by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: (by..., column, q25, q5, q75).
 
-    Columns with few distinct values (an estimate decides) take one aggregate over value
-    counts; for the rest the values are ranked across range partitions, so no task holds
-    a whole column or a whole group.
+    A sketch brackets each quantile and one pass over the brackets decides; the result is a
+    constant table. Beyond MAX_GROUPS groups the values are ranked across range partitions
+    instead. Either way no task holds a whole column or a whole group.
     """
-    dense: list[str] = []
-    if dense_limit > 0:
-        estimate = df.agg(
-            *[F.approx_count_distinct(plain_double(df, c)).alias(f"c{i}") for i, c in enumerate(columns)]
-        ).first()
-        dense = [c for i, c in enumerate(columns) if estimate[i] <= dense_limit]
-    sparse = [c for c in columns if c not in dense]
-    parts = []
-    if dense:
-        counts = _melt(df, dense, by).groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-        state = F.percentile("value", [float(p) for p in probs], F.col("n"))
-        parts.append(
-            counts.groupBy(*by, "column")
-            .agg(state.alias("__q"))
-            .select(*by, "column", *[F.get("__q", i).alias(_label(p)) for i, p in enumerate(probs)])
-        )
-    if sparse:
-        parts.append(_ranked_quantiles(df, sparse, probs, by))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sketch = _sketch(df, columns, probs, by)
+    return _quantiles(df, columns, probs, by, sketch)
 
 
-def five_numbers(
-    df: DataFrame, columns: Sequence[str], *, by: Sequence[str] = (), dense_limit: int = DENSE_LIMIT
-) -> DataFrame:
+def _quantiles(df, columns, probs, by, sketch) -> DataFrame:
+    rows = _from_brackets(df, columns, probs, by, sketch) if len(sketch) <= MAX_GROUPS else None
+    if rows is None:
+        return _ranked_quantiles(df, columns, probs, by)
+    fields = [(b, df.schema[b].dataType) for b in by]
+    fields += [("column", "string"), *[(_label(p), "double") for p in probs]]
+    return literal_rows(df.sparkSession, fields, rows)
+
+
+def five_numbers(df: DataFrame, columns: Sequence[str], *, by: Sequence[str] = ()) -> DataFrame:
     """(by..., column, n, min, q25, median, mean, q75, max) over non-missing values."""
-    keys = [*by, "column"]
-    basic = (
-        _melt(df, columns, by)
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("min"),
-            F.avg("value").alias("mean"),
-            F.max("value").alias("max"),
+    probs, keys = (0.25, 0.5, 0.75), [*by, "column"]
+    sketch = _sketch(df, columns, probs, by)
+    if len(sketch) <= MAX_GROUPS:
+        facts = ("n", "min", "mean", "max")
+        fields = [(b, df.schema[b].dataType) for b in by]
+        fields += [("column", "string"), ("n", "bigint"), ("min", "double"), ("mean", "double"), ("max", "double")]
+        rows = [
+            [*[g[b] for b in by], c, *[g[f"{f}{i}"] for f in facts]]
+            for g in sketch
+            for i, c in enumerate(columns)
+            if g[f"n{i}"]
+        ]
+        basic = literal_rows(df.sparkSession, fields, rows)
+    else:
+        basic = _melt(df, columns, by).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("min"),
+            F.avg("value").alias("mean"), F.max("value").alias("max"),
         )
-    )
-    q = quantiles(df, columns, by=by, dense_limit=dense_limit).withColumnRenamed("q5", "median")
-    same = [basic[k].eqNullSafe(q[k]) for k in keys]
-    return basic.join(q, on=same, how="inner").select(
-        *[basic[k] for k in keys], "n", "min", "q25", "median", "mean", "q75", "max"
-    )
+    q = _quantiles(df, columns, probs, by, sketch).withColumnRenamed("q5", "median")
+    return join_null_safe(basic, q, keys).select(*keys, "n", "min", "q25", "median", "mean", "q75", "max")
 
 
 def grid_edges(lo: float, hi: float, bins: int) -> list[float]:

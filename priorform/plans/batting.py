@@ -22,6 +22,7 @@ from priorform.operators.temporal import (
     history_at,
     with_history,
 )
+from priorform.sources.sinks import stage
 
 COUNTS = {"AB": "atBat", "hit": "Hit", "walk": "Walk", "HR": "Home_Run"}
 
@@ -97,7 +98,7 @@ def per_game_stats(
         F.col("batter_id").alias("id"), "name", "teamid", "team", "game", *COUNTS, "bavg",
         F.col("local_date").alias("date"),
     )
-    return row_index(out, ["id", "date"], "idx")
+    return row_index(stage(out), ["id", "date"], "idx")
 
 
 def rolling_average(stats: DataFrame, *, keep_first: bool = False) -> DataFrame:
@@ -123,7 +124,7 @@ def batter_history(games: DataFrame) -> DataFrame:
     ``games`` is :func:`batter_games`, all games of a day counted.
     """
     return with_history(
-        games, "batter_id", "local_date",
+        stage(games), "batter_id", "local_date",
         {"career": CAREER_TO_DATE, "season": SEASON_TO_DATE, "100": CLOSED_100},
         sums={n: n for n in COUNTS}, means={"bavg": "bavg"}, count="num_game",
     )

@@ -7,7 +7,8 @@ team_id, pitcher, counts), ``batter_counts`` (game_id, team_id, homeTeam, counts
 ``pregame_odds`` (game_id, capture_date, home_line, away_line).
 
 Shuffles: one by (entity, day) and one by entity per history, and then everything meets on
-the game id, so the wide assembly shuffles each input once.
+the game id, so the wide assembly shuffles each input once. The two per-game tables are
+stored (``sources.sinks.stage``), because a history reads its rows twice.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from priorform.operators.temporal import (
     next_gap,
     with_history,
 )
+from priorform.sources.sinks import stage
 
 PITCHER_COUNTS = (
     "atBat", "plateApperance", "Hit", "Single", "Double", "Triple",
@@ -76,7 +78,7 @@ def pitcher_history(t: GameTables) -> DataFrame:
     """
     measures = {m: m for m in (*PITCHER_COUNTS, "WHIP")}
     return with_history(
-        pitcher_per_game(t), "pitcher", "local_date",
+        stage(pitcher_per_game(t)), "pitcher", "local_date",
         {"100": CLOSED_100, "season": SEASON_TO_DATE, "career": CAREER_TO_DATE},
         sums=measures, count="num_game",
     )
@@ -93,7 +95,7 @@ def team_per_game(t: GameTables) -> DataFrame:
 def team_history(t: GameTables) -> DataFrame:
     """Sums over the open 100-day look-back per team and game."""
     return with_history(
-        team_per_game(t), "team_id", "local_date", {"99": OPEN_100},
+        stage(team_per_game(t)), "team_id", "local_date", {"99": OPEN_100},
         sums={m: m for m in TEAM_COUNTS}, count="games",
     )
 

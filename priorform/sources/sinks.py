@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,19 +36,19 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     return df.where(~F.coalesce(predicate, F.lit(False)))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint a stage that several jobs read, in the folder ``spark.checkpoint.dir`` names.
+def stage(df: DataFrame) -> DataFrame:
+    """Store an intermediate table that several branches read, and return it read back.
 
-    The data survives the loss of executors. Only a local session without that setting
-    gets a folder of its own; on a cluster the setting is required, because a folder of
-    one machine is not shared.
+    It goes to a new subfolder of the folder that ``spark.checkpoint.dir`` names, as
+    parquet, so later branches read only the columns they need and a lost executor costs
+    no recomputation. Only a local session without that setting gets a folder of its own;
+    on a cluster the setting is required, because a folder of one machine is not shared.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="priorform-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="priorform-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return materialize(df, f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}", mode="error")
