@@ -32,7 +32,7 @@ class Horizon:
     last: int
     within_season: bool = False
 
-    def window(self, entity: Sequence[str]) -> Window:
+    def window(self, entity: Sequence[str | Column]) -> Window:
         start = Window.unboundedPreceding if self.first is None else self.first
         parts = [*entity, SEASON] if self.within_season else list(entity)
         return Window.partitionBy(*parts).orderBy(DAY).rangeBetween(start, self.last)
@@ -71,14 +71,30 @@ def daily_history(
     for e in entity:
         keyed = keyed.where(F.col(e).isNotNull())
 
-    daily = [F.sum(col(c)).alias(f"__s_{m}") for m, c in sums.items()]
-    for m, c in means.items():
-        daily += [F.sum(col(c)).alias(f"__a_{m}"), F.count(col(c)).alias(f"__c_{m}")]
-    daily.append(F.count(F.lit(1)).alias("__n"))
+    daily = [F.sum(c).alias(n) for n, c in _parts(sums, means).items()]
     per_day = keyed.groupBy(*entity, DAY).agg(*daily)
+    return per_day.transform(_with_season, horizons).select(
+        *entity, DAY, *_over(horizons, entity, sums, means, count)
+    )
+
+
+def _parts(sums: Mapping[str, Column | str], means: Mapping[str, Column | str]) -> dict[str, Column]:
+    """What is added up per row: values, and for means also how many there are."""
+    parts = {f"__s_{m}": col(c) for m, c in sums.items()}
+    for m, c in means.items():
+        parts |= {f"__a_{m}": col(c), f"__c_{m}": F.when(col(c).isNotNull(), F.lit(1).cast("bigint")).otherwise(0)}
+    return parts | {"__n": F.lit(1).cast("bigint")}
+
+
+def _with_season(df: DataFrame, horizons: Mapping[str, Horizon]) -> DataFrame:
     if any(h.within_season for h in horizons.values()):
-        per_day = per_day.withColumn(SEASON, F.year(F.date_from_unix_date(DAY)))
+        return df.withColumn(SEASON, F.year(F.date_from_unix_date(DAY)))
+    return df
+
 
+def _over(
+    horizons: Mapping[str, Horizon], entity: Sequence[str | Column], sums, means, count: str | None
+) -> list[Column]:
     out = []
     for suffix, h in horizons.items():
         w = h.window(entity)
@@ -89,7 +105,7 @@ def daily_history(
             out.append(mean.alias(f"{m}_{suffix}"))
         if count:
             out.append(F.sum("__n").over(w).alias(f"{count}_{suffix}"))
-    return per_day.select(*entity, DAY, *out)
+    return out
 
 
 def with_history(
@@ -101,18 +117,39 @@ def with_history(
     sums: Mapping[str, Column | str] | None = None,
     means: Mapping[str, Column | str] | None = None,
     count: str | None = "n",
+    one_per_day: bool = False,
 ) -> DataFrame:
     """The rows of ``df`` with their history columns; same arguments as :func:`daily_history`.
 
-    Rows without entity or date are kept with NULL history.
+    Rows without entity or date are kept with NULL history. ``one_per_day`` promises at most
+    one row per (entity, day), as :func:`dedupe_entity_day` leaves them: the rows then are
+    the daily rows, and the frames run over them without a join.
     """
     entity = _names(entity)
+    if one_per_day:
+        return _history_in_place(df, entity, ts, horizons, dict(sums or {}), dict(means or {}), count)
     history = daily_history(df, entity, ts, horizons, sums=sums, means=means, count=count)
     added = [c for c in history.columns if c not in (*entity, DAY)]
     rows = df.withColumn(DAY, day_number(ts))
     return rows.join(history, on=[*entity, DAY], how="left").select(*df.columns, *added)
 
 
+def _history_in_place(df, entity, ts, horizons, sums, means, count) -> DataFrame:
+    rows = df.withColumn(DAY, day_number(ts)).withColumns(_parts(sums, means))
+    rows = rows.transform(_with_season, horizons)
+    unknown = F.col(DAY).isNull()
+    for e in entity:
+        unknown = unknown | F.col(e).isNull()
+    # Rows without a place in time have no history; a hash keeps them out of one another's group.
+    apart = F.when(unknown, F.xxhash64(*df.columns))
+    rows = rows.withColumn("__apart", apart)
+    frames = _over(horizons, [*entity, "__apart"], sums, means, count)
+    names = [n for suffix in horizons for n in [f"{m}_{suffix}" for m in (*sums, *means, *([count] if count else []))]]
+    return rows.select(*df.columns, "__apart", *frames).select(
+        *df.columns, *[F.when(F.col("__apart").isNull(), F.col(n)).alias(n) for n in names]
+    )
+
+
 def rolling(
     df: DataFrame,
     entity: str | Sequence[str],
