@@ -45,10 +45,11 @@ def stage(df: DataFrame) -> DataFrame:
     on a cluster the setting is required, because a folder of one machine is not shared.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="priorform-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="priorform-"))
+        folder = context.getCheckpointDir()
     return materialize(df, f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}", mode="error")
