@@ -62,10 +62,13 @@ def forms(spark, folder: str) -> None:
     """Median of three: the reference's way of asking, and ours."""
     from bench_forms import reference_forms
 
-    out = {}
+    out, names = {}, [a for a in sys.argv[1:] if not a.startswith("-")]
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     for name, form in reference_forms(spark, folder).items():
-        ours = statistics.median(timed(lambda: QUERIES[name](spark, folder)) for _ in range(3))
-        theirs = statistics.median(timed(form) for _ in range(3))
+        if names and name not in names:
+            continue
+        ours = statistics.median([timed(lambda: QUERIES[name](spark, folder)) for _ in range(runs)])
+        theirs = statistics.median([timed(form) for _ in range(runs)])
         out[name] = {"reference_form_sec": round(theirs, 2), "ours_sec": round(ours, 2)}
         print(name, out[name], file=sys.stderr, flush=True)
     print(json.dumps(out))

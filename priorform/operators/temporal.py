@@ -1,12 +1,15 @@
 """History features per entity, latest values and gaps.
 
-Every frame here is measured in whole days, so all rows of one entity on one day
-share the same history. The operators use that: rows are first combined to one row
-per (entity, day) on the map side, windows run over those daily rows (an entity has
-at most as many as the calendar has days, however many rows it has), and the result
-is joined back on (entity, day). A hot entity therefore never sits in one task: its
-raw rows are only ever grouped or joined by day, and a hot single day is a skewed
-left side of a join with one right row, which AQE splits.
+Every frame here is measured in whole days, so all rows of one entity on one day share the
+same history. That gives two ways to the same result:
+
+* in place: one shuffle by entity and range frames over the rows. Taken when the largest
+  entity is known to be small (a count per entity, combined before its shuffle, decides).
+* daily: rows are first combined to one row per (entity, day) on the map side, frames run
+  over those daily rows (at most as many per entity as the calendar has days, however many
+  rows there are), and the result is joined back on (entity, day). A hot entity never sits
+  in one task: its raw rows are only ever grouped or joined by day, and a hot single day is
+  a skewed left side of a join with one right row, which AQE splits.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from priorform.functions.rates import col
 
 DAY = "__day"
 SEASON = "__season"
+# Entities of at most this many rows may be framed in one task.
+IN_PLACE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -117,16 +122,18 @@ def with_history(
     sums: Mapping[str, Column | str] | None = None,
     means: Mapping[str, Column | str] | None = None,
     count: str | None = "n",
-    one_per_day: bool = False,
+    way: str = "auto",
 ) -> DataFrame:
     """The rows of ``df`` with their history columns; same arguments as :func:`daily_history`.
 
-    Rows without entity or date are kept with NULL history. ``one_per_day`` promises at most
-    one row per (entity, day), as :func:`dedupe_entity_day` leaves them: the rows then are
-    the daily rows, and the frames run over them without a join.
+    Rows without entity or date are kept with NULL history. ``way`` is "daily", "in_place"
+    (the caller knows that entities are small, such as after :func:`dedupe_entity_day`), or
+    "auto": in place if no entity has more than IN_PLACE_ROWS rows, which takes one count.
     """
     entity = _names(entity)
-    if one_per_day:
+    if way not in ("auto", "daily", "in_place"):
+        raise ValueError(f"unknown way {way!r}")
+    if way == "in_place" or (way == "auto" and _largest(df, entity) <= IN_PLACE_ROWS):
         return _history_in_place(df, entity, ts, horizons, dict(sums or {}), dict(means or {}), count)
     history = daily_history(df, entity, ts, horizons, sums=sums, means=means, count=count)
     added = [c for c in history.columns if c not in (*entity, DAY)]
@@ -134,6 +141,13 @@ def with_history(
     return rows.join(history, on=[*entity, DAY], how="left").select(*df.columns, *added)
 
 
+def _largest(df: DataFrame, entity: Sequence[str]) -> int:
+    """Rows of the entity that has most."""
+    known = df.select(*entity).na.drop()
+    counts = known.groupBy(*entity).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
 def _history_in_place(df, entity, ts, horizons, sums, means, count) -> DataFrame:
     rows = df.withColumn(DAY, day_number(ts)).withColumns(_parts(sums, means))
     rows = rows.transform(_with_season, horizons)

@@ -108,7 +108,7 @@ def rolling_average(stats: DataFrame, *, keep_first: bool = False) -> DataFrame:
     """
     out = with_history(
         stats, "id", "date", {"100": CLOSED_100},
-        sums={n: n for n in COUNTS}, means={"bavg": "bavg"}, count="num_game", one_per_day=True,
+        sums={n: n for n in COUNTS}, means={"bavg": "bavg"}, count="num_game", way="in_place",
     ).select(
         "name", "id", "team", "teamid", "date",
         *[F.col(f"{n}_100").alias(f"100_day_{n.lower() if n == 'AB' else n}") for n in COUNTS],

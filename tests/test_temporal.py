@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from priorform.operators import temporal as tp
@@ -53,10 +54,11 @@ def history(spark, rows, **kw):
 EDGES = [0, 1, 2, 99, 100, 101, 101, 214, 215, 216, 220]
 
 
-def test_frames_match_the_self_join(spark):
+@pytest.mark.parametrize("way", ["auto", "daily", "in_place"])
+def test_frames_match_the_self_join(spark, way):
     rows = [(1, day(n), i, i * i) for i, n in enumerate(EDGES)]
     rows += [(2, day(5), 50, 7), (3, day(0), 60, None), (3, day(3), 61, 4), (3, None, 62, 1), (None, day(3), 63, 1)]
-    assert history(spark, rows) == brute(rows)
+    assert history(spark, rows, way=way) == brute(rows)
 
 
 def test_empty_frame_is_null_also_for_the_count(spark):
@@ -70,18 +72,20 @@ def test_closed_and_open_differ_exactly_at_distance_100(spark):
     assert differ == {i for i, n in enumerate(EDGES) if n - 100 in EDGES}
 
 
-def test_hot_entity_and_hot_day(spark):
-    """A third of all rows on one entity, half of those on one day."""
+@pytest.mark.parametrize("limit", [100, 10**6])
+def test_hot_entity_and_hot_day(spark, monkeypatch, limit):
+    """A third of all rows on one entity, half of those on one day; beyond and below the limit."""
+    monkeypatch.setattr(tp, "IN_PLACE_ROWS", limit)
     rnd = random.Random(3)
     rows = [(9, day(40 if rnd.random() < 0.5 else rnd.randrange(300)), i, rnd.randrange(9)) for i in range(200)]
     rows += [(rnd.randrange(8), day(rnd.randrange(300)), 1000 + i, rnd.randrange(9)) for i in range(400)]
     assert history(spark, rows) == brute(rows)
 
 
-def test_in_place_equals_joined_for_one_row_per_day(spark):
+def test_rows_without_place_in_time_stay_apart(spark):
     rows = [(e, day(n), 100 * e + n, n) for e in (1, 2) for n in sorted(set(EDGES))]
     rows += [(1, None, 900, 1), (None, day(1), 901, 1), (None, day(2), 902, 1), (1, None, 903, 1)]
-    assert history(spark, rows, one_per_day=True) == history(spark, rows) == brute(rows)
+    assert history(spark, rows, way="in_place") == history(spark, rows, way="daily") == brute(rows)
 
 
 def test_no_leak_from_the_present_or_the_future(spark):
