@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from priorform.catalog.registry import query, rounded
 from priorform.operators import association, binned, report
 from priorform.sources.datasets import DatasetRegistry, DatasetSpec
+from priorform.sources.sinks import stage
 from priorform.sources.tables import Tables
 
 CATS = ("l_returnflag", "l_linestatus", "o_orderpriority", "c_mktsegment")
@@ -349,7 +350,7 @@ _CONT_PAIRS = list(combinations(CONTS, 2))
 
 def _dmr_2d(t: Tables, pairs) -> DataFrame:
     kinds = {c: KINDS[c] for p in pairs for c in p}
-    return rounded(binned.dmr_2d(_facts(t), pairs, kinds, "filled"), "dmr", "wdmr", scale=SMALL)
+    return rounded(binned.dmr_2d(stage(_facts(t)), pairs, kinds, "filled"), "dmr", "wdmr", scale=SMALL)
 
 
 @query("dmr_2d_cat_cat", _dmr_2d_query(_CAT_PAIRS[:2], KINDS))
@@ -389,7 +390,8 @@ def dmr_2d_cells(t: Tables) -> DataFrame:
 
 def _analysis(t: Tables) -> report.Analysis:
     data = DATASETS.choose("lines")
-    return report.Analysis(data.load(t.spark, t.folder), data.predictors, data.response, list(CATS), list(CONTS), True)
+    rows = stage(data.load(t.spark, t.folder))
+    return report.Analysis(rows, data.predictors, data.response, list(CATS), list(CONTS), True)
 
 
 def _pair_table_sql(pairs, types, corr, extra: str = "") -> str:

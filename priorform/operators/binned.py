@@ -66,41 +66,48 @@ def dmr_1d(
             aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     facts = rows.agg(*aggs).first()
 
-    population, grid, keys = [], [], []
+    population = [(c, facts[f"n{i}"], facts[f"m{i}"]) for i, c in enumerate(names) if facts[f"n{i}"]]
+    if not population:
+        raise ValueError("no predictor has values where the response has")
+    usable = {c for c, _, _ in population}
+    grid, bins_of, values_of = [], [], []
     for i, c in enumerate(names):
-        if not facts[f"n{i}"]:
+        if c not in usable or c in cats:
             continue
-        population.append((c, facts[f"n{i}"], facts[f"m{i}"]))
-        if c in cats:
-            bin_, level, value = F.lit(None).cast("int"), F.col(c).cast("string"), F.lit(None).cast("double")
-        else:
-            edges = grid_edges(facts[f"lo{i}"], facts[f"hi{i}"], BINS)
-            width = (facts[f"hi{i}"] - facts[f"lo{i}"]) / BINS
-            value, level = plain_double(rows, c), F.lit(None).cast("string")
-            bin_ = bin_number(value, edges) - 1
-            for b, edge in enumerate(edges):
-                step = width if b < BINS - 1 else INF
-                grid.append((c, b, edge, edge + step, (edge + step) / 2 + edge))
-        keys.append(
-            F.struct(
-                F.lit(c).alias("predictor"), bin_.alias("bin"), level.alias("level"), value.alias("value"),
-                (level.isNotNull() | value.isNotNull()).alias("known"),
-            )
-        )
+        edges = grid_edges(facts[f"lo{i}"], facts[f"hi{i}"], BINS)
+        width = (facts[f"hi{i}"] - facts[f"lo{i}"]) / BINS
+        value = plain_double(rows, c)
+        bins_of.append((c, bin_number(value, edges) - 1))
+        values_of.append(value)
+        for b, edge in enumerate(edges):
+            step = width if b < BINS - 1 else INF
+            grid.append((c, b, edge, edge + step, (edge + step) / 2 + edge))
+    levels_of = [(c, F.col(c).cast("string")) for c in cats if c in usable]
     spark = df.sparkSession
-    if not keys:
-        raise ValueError("no predictor has values where the response has")
-    cells = (
-        rows.select("__y", F.inline(F.array(*keys)))
-        .where("known")
-        .groupBy("predictor", "bin", "level")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("__y").alias("__sum"),
-            F.min("value").alias("__lo"),
-            F.max("value").alias("__hi"),
+
+    def named_keys(entries, name: str) -> tuple[DataFrame, Column]:
+        """One row per predictor and row; arrays keep the expression small enough to be compiled."""
+        arrays = [F.array(*[e for _, e in entries]).alias("__keys")]
+        arrays += [F.array(*values_of).alias("__values")] if name == "bin" else []
+        long = rows.select("__y", *arrays).select(
+            "__y", *(["__values"] if name == "bin" else []), F.posexplode("__keys").alias("__at", name)
         )
-    )
+        return long.where(F.col(name).isNotNull()), F.get(F.array(*[F.lit(c) for c, _ in entries]), F.col("__at"))
+
+    cells = None
+    if bins_of:
+        long, predictor = named_keys(bins_of, "bin")
+        value = F.get("__values", F.col("__at"))
+        cells = long.groupBy("__at", "bin").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("__y").alias("__sum"), F.min(value).alias("__lo"), F.max(value).alias("__hi")
+        ).withColumn("predictor", predictor)
+    named = None
+    if levels_of:
+        long, predictor = named_keys(levels_of, "level")
+        named = long.groupBy("__at", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("__sum"))
+        named = named.withColumn("predictor", predictor).drop("__at").withColumns(
+            {c: F.lit(None).cast("double") for c in ("__lo", "__hi", "__edge", "__top", "center")}
+        ).withColumn("bin", F.lit(None).cast("int"))
     # Both constant tables have at most ten rows per predictor.
     edge_rows = literal_rows(
         spark,
@@ -110,14 +117,12 @@ def dmr_1d(
     totals = literal_rows(
         spark, [("predictor", "string"), ("__total", "bigint"), ("pop_mean", "double")], population
     )
-    numbered = (
-        edge_rows.join(cells.where(F.col("bin").isNotNull()).drop("level"), on=["predictor", "bin"], how="left")
-        .withColumn("level", F.lit(None).cast("string"))
-    )
-    named = cells.where(F.col("bin").isNull()).withColumns(
-        {c: F.lit(None).cast("double") for c in ("__edge", "__top", "center")}
-    )
-    bins = _score_bins(numbered.unionByName(named).join(F.broadcast(totals), on="predictor"))
+    parts = [named] if named is not None else []
+    if cells is not None:
+        numbered = edge_rows.join(cells.drop("__at"), on=["predictor", "bin"], how="left")
+        parts.append(numbered.withColumn("level", F.lit(None).cast("string")))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    bins = _score_bins(every.join(F.broadcast(totals), on="predictor"))
     return bins, summarize_bins(bins)
 
 
@@ -268,44 +273,68 @@ def pair_cells(
     columns with very many levels) and combined before the shuffle to at most the cells
     that occur.
     """
-    if blocked:
-        blocks = _blocks(pairs)
-    else:
-        blocks = [([a, b], [(i, 0, 1)]) for i, (a, b) in enumerate(pairs)]
-    width = max(len(c) for c, _ in blocks)
+    return _cells_by_block(df, pairs, codes, response) if blocked else _cells_by_pair(df, pairs, codes, response)
+
+
+def _cell_sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.count("__y").alias("ny"), F.sum("__y").alias("s")]
+
+
+def _merge_cells(flat: DataFrame) -> DataFrame:
+    return flat.groupBy("pair", "a", "b").agg(
+        F.sum("n").alias("n"), F.sum("ny").alias("n_response"), F.sum("s").alias("sum_response")
+    )
+
+
+def _cells_by_pair(df, pairs, codes, response) -> DataFrame:
+    """Positions of pairs are exploded, levels looked up: the code does not grow with the pairs."""
+    used = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: i for i, c in enumerate(used)}
+    first, second = (F.array(*[F.lit(at[p[side]]) for p in pairs]) for side in (0, 1))
+    long = df.select(F.array(*[codes[c].cast("string") for c in used]).alias("__levels"), response.alias("__y")).select(
+        "__y", "__levels", F.explode(F.array(*[F.lit(i) for i in range(len(pairs))])).alias("pair")
+    )
+    a, b = (F.get("__levels", F.get(side, F.col("pair"))) for side in (first, second))
+    return (
+        long.groupBy("pair", a.alias("a"), b.alias("b"))
+        .agg(*_cell_sums())
+        .withColumnsRenamed({"ny": "n_response", "s": "sum_response"})
+    )
+
+
+def _cells_by_block(df, pairs, codes, response) -> DataFrame:
+    """The bins of a block's columns are packed into one number, four bits each (0 is missing)."""
+    blocks = _blocks(pairs)
     used = list(dict.fromkeys(c for cols, _ in blocks for c in cols))
     names = {c: f"__k{i}" for i, c in enumerate(used)}
-    coded = df.select(*[codes[c].cast("string").alias(names[c]) for c in used], response.alias("__y"))
-    none = F.lit(None).cast("string")
-    slots = [f"c{j}" for j in range(width)]
-    entries = [
-        F.struct(
-            F.lit(k).alias("block"),
-            *[(F.col(names[cols[j]]) if j < len(cols) else none).alias(slots[j]) for j in range(width)],
-        )
-        for k, (cols, _) in enumerate(blocks)
-    ]
-    grouped = (
-        coded.select("__y", F.inline(F.array(*entries)))
-        .groupBy("block", *slots)
-        .agg(F.count(F.lit(1)).alias("n"), F.count("__y").alias("ny"), F.sum("__y").alias("s"))
+    packed = []
+    for cols, _ in blocks:
+        code = F.lit(0)
+        for c in reversed(cols):
+            code = code * 16 + F.col(names[c])
+        packed.append(code)
+    cells = (
+        df.select(*[F.coalesce(codes[c].cast("int"), F.lit(0)).alias(names[c]) for c in used], response.alias("__y"))
+        .select("__y", F.array(*packed).alias("__codes"))
+        .select("__y", F.posexplode("__codes").alias("block", "code"))
+        .groupBy("block", "code")
+        .agg(*_cell_sums())
     )
     wanted = F.array(
         *[
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("pair"), F.lit(a).alias("ia"), F.lit(b).alias("ib"))
-                    for i, a, b in ids
-                ]
-            )
+            F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(16**a).alias("ua"), F.lit(16**b).alias("ub")) for i, a, b in ids])
             for _, ids in blocks
         ]
     )
-    level = F.array(*[F.col(s) for s in slots])
-    return (
-        grouped.select(level.alias("__levels"), "n", "ny", "s", F.inline(F.get(wanted, F.col("block"))))
-        .groupBy("pair", F.get("__levels", F.col("ia")).alias("a"), F.get("__levels", F.col("ib")).alias("b"))
-        .agg(F.sum("n").alias("n"), F.sum("ny").alias("n_response"), F.sum("s").alias("sum_response"))
+
+    def level(unit: str) -> Column:
+        digit = F.floor(F.col("code") / F.col(unit)) % 16
+        return F.when(digit > 0, digit.cast("int").cast("string"))
+
+    return _merge_cells(
+        cells.select("code", "n", "ny", "s", F.inline(F.get(wanted, F.col("block")))).select(
+            "pair", level("ua").alias("a"), level("ub").alias("b"), "n", "ny", "s"
+        )
     )
 
 

@@ -170,17 +170,20 @@ def _from_brackets(
         values = values.join(brackets, on=same, how="inner").drop(*[n for n, _ in fields])
     else:
         values = values.select("*", *[F.lit(v).cast("double").alias(n) for v, (n, _) in zip(table[0], edges)])
-    entries = []
+    # Places first, entries second: two small steps compile where one large one would not.
+    places, entries = [], []
     for i in range(len(columns)):
         v, past, inside = F.col(f"v{i}"), F.lit(0), F.lit(False)
         for k in range(len(probs)):
             past = past + (v > F.col(f"hi{i}_{k}")).cast("int")
             inside = inside | v.between(F.col(f"lo{i}_{k}"), F.col(f"hi{i}_{k}"))
+        places += [v, past.alias(f"p{i}"), F.when(inside, v).alias(f"x{i}")]
         entries.append(
-            F.struct(F.lit(i).alias("i"), past.alias("past"), F.when(inside, v).alias("value"), v.alias("v"))
+            F.struct(F.lit(i).alias("i"), F.col(f"p{i}").alias("past"), F.col(f"x{i}").alias("value"), v.alias("v"))
         )
     counted = (
-        values.select(*by, F.inline(F.array(*entries)))
+        values.select(*by, *places)
+        .select(*by, F.inline(F.array(*entries)))
         .where(F.col("v").isNotNull())
         .groupBy(*by, "i", "past", "value")
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("at"))
@@ -266,12 +269,26 @@ def grid_edges(lo: float, hi: float, bins: int) -> list[float]:
 
 
 def bin_number(value: Column, edges: Sequence[float]) -> Column:
-    """1-based bin of a value: how many lower edges are not above it; NULL for NULL."""
-    steps = [(value >= F.lit(e)).cast("int") for e in edges[1:]]
-    number = F.lit(1)
-    for s in steps:
-        number = number + s
-    return F.when(value.isNotNull(), number)
+    """1-based bin of a value: how many lower edges are not above it; NULL for NULL.
+
+    A division guesses the bin and the two edges around it decide, so that an expression
+    over many columns stays small enough to be compiled. The guess is off by one at most as
+    long as the added-up edges stay near their places; else all edges are compared.
+    """
+    last = len(edges) - 1
+    step = edges[1] - edges[0] if last else 0.0
+    regular = step > 0 and all(abs(e - (edges[0] + i * step)) < step / 4 for i, e in enumerate(edges))
+    if not regular:
+        number = F.lit(1)
+        for e in edges[1:]:
+            number = number + (value >= F.lit(e)).cast("int")
+        return F.when(value.isNotNull(), number)
+    lower = F.array(*[F.lit(e) for e in (float("-inf"), *edges[1:])])
+    guess = F.least(F.greatest((value - F.lit(edges[0])) / F.lit(step), F.lit(0.0)), F.lit(float(last)))
+    at = F.floor(guess).cast("int")
+    up = F.coalesce((value >= F.get(lower, at + 1)).cast("int"), F.lit(0))
+    down = (value < F.get(lower, at)).cast("int")
+    return F.when(value.isNotNull(), at + 1 + up - down)
 
 
 def extremes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float] | None]:
