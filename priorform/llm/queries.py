@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorform.llm import bpe, langid, winnow
+from priorform.llm import bpe, langid, licenses, shards, winnow
 from priorform.llm._common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SEED = 20
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -37,6 +38,19 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", held_out(4, 2).alias("held_out")])
 
 
+@query
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence lines in every document."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in eight shards of one mixture, row counts at most one apart."""
+    cut = shards.interleave(table(spark, folder, "documents"), 8, seed=SEED)
+    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents against the benchmark: words and items hit by windows of ten words."""
@@ -74,3 +88,56 @@ select docs.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_h
        sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
 from docs left join words_hit on docs.doc_id = words_hit.doc_id left join items_hit on docs.doc_id = items_hit.doc_id
 """
+
+ORACLES["op6_shards"] = f"""
+with crc_table as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                          lambda c, x: case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end) as c
+    from range(256) as r(i))),
+facts as (
+  select doc_id, source, coalesce(strlen(text), 0) + 1 as size, md5('{SEED}:' || coalesce(cast(doc_id as varchar), '')) as h,
+         xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint))),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) as crc
+  from documents, crc_table),
+ranked as (
+  select *, (row_number() over (partition by source order by h, doc_id, crc, size) - 0.5::double) / count(*) over (partition by source) as f from facts),
+ordered as (
+  select *, row_number() over (order by f, h, coalesce('=' || source, ''), doc_id, crc, size) - 1 as place, count(*) over () as total from ranked),
+cut as (select *, place * 8 // total as shard from ordered)
+select doc_id, cast(size as bigint) as size, crc as text_crc32, 'rows' as law, cast(shard as int) as shard,
+       place - (shard * total + 7) // 8 as slot, cast(null as int) as grown_shard
+from cut
+"""
+
+
+def _license_sql() -> str:
+    """The same scan, every template tried at every word."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    columns, shares = [], []
+    for k, t in enumerate(licenses.TEMPLATES):
+        n = len(t.words)
+        tests = " and ".join(f"w[s + {a + 1}] = '{t.words[a]}' and w[s + {a + 1} : s + {b}] = {quoted(t.words[a:b])}" for a, b in t.keys)
+        columns.append(f"list_filter(range(len(w) - {n} + 1), lambda s: {tests}) as s{k}")
+        same = " + ".join(f"cast(w[s + {i + 1}] = '{x}' as int)" for i, x in enumerate(t.words))
+        shares.append(f"coalesce(list_max(list_transform(s{k}, lambda s: ({same}) / {float(n)}::double)), 0)")
+    labels = lambda kinds: "coalesce(array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(
+        f"case when len(s{k}) > 0 then '{licenses.TEMPLATES[k].label}' end" for k in kinds
+    ) + "], lambda x: x is not null))), ','), '')"
+    base = [k for k, t in enumerate(licenses.TEMPLATES) if t.base]
+    places = " || ".join(f"s{k}" for k in base)
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+with docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}') as w
+  from documents),
+found as (select doc_id, w, {", ".join(columns)} from docs)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len({places}) as bigint) as n_base, list_min({places}) as first_word,
+       list_max({places}) as last_word, {labels(base)} as base_labels, {labels(range(len(licenses.TEMPLATES)))} as labels,
+       greatest({", ".join(shares)}) as score
+from found
+"""
+
+
+ORACLES["op3_licenses"] = _license_sql()
