@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from priorform.llm._common import map_arrow, text_bytes
 
-REMEMBERED = 300_000  # pre-tokens a worker keeps
+REMEMBERED = 300_000  # pre-tokens, and stretches, a worker keeps
 LONGEST_REMEMBERED = 64
 
 
@@ -79,6 +79,23 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
     return bytes(out)
 
 
+def stretches_of(text: str) -> list[str]:
+    """The text cut before every blank that a character other than white space follows.
+
+    With a pattern whose matches hold a blank before anything but white space only at their start, and whose
+    white space gives back its last character before other text, matches never cross such a cut. So a stretch
+    has the same matches alone, and frequent stretches need the pattern only once.
+    """
+    pieces = text.split(" ")
+    out = [pieces[0]]
+    for p in pieces[1:]:
+        if p and not p[0].isspace():
+            out.append(" " + p)
+        else:
+            out[-1] += " " + p
+    return out
+
+
 class Codec:
     """Encodes and decodes texts with one model. ``pattern`` cuts a text into pre-tokens."""
 
@@ -100,28 +117,39 @@ class Codec:
                 self.whole[token.decode()] = struct.pack("<I", i)
             except UnicodeDecodeError:
                 pass
-        self.known = dict(self.whole)
+        self.tokens_of: dict[str, bytes] = {}  # packed ids of pre-tokens
+        self.stretches: dict[str, bytes] = {}  # and of stretches
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED + len(self.whole):
-            self.known = dict(self.whole)
-        out, known = [], self.known
+        out, some, held = [], [], 0
         for text in texts:
-            parts = self.cut(text)
-            new = [p for p in {*parts} if p not in known]
-            extra = {}
-            if new:
-                mapped = [p.encode().decode("latin-1").translate(self.visible) for p in new]
-                for p, ids in zip(new, self.model.encode(mapped, num_threads=1)):
-                    (known if len(p) <= LONGEST_REMEMBERED else extra)[p] = struct.pack(f"<{len(ids)}I", *ids)
-            if extra:
-                out.append(b"".join([extra[p] if p in extra else known[p] for p in parts]))
-            else:
-                out.append(b"".join(map(known.__getitem__, parts)))
-            if len(known) > 4 * REMEMBERED:
-                known = self.known = dict(self.whole)
-        return out
+            some.append(stretches_of(text))
+            held += len(some[-1])
+            if held > REMEMBERED:
+                out += self._pack(some)
+                some, held = [], 0
+        return out + self._pack(some)
+
+    def _pack(self, texts: list[list[str]]) -> list[bytes]:
+        if len(self.stretches) > REMEMBERED:
+            self.stretches = {}
+        if len(self.tokens_of) > REMEMBERED:
+            self.tokens_of = {}
+        new = {s for t in texts for s in t} - self.stretches.keys()
+        cuts = {s: self.cut(s) for s in new}
+        todo = [p for p in {p for c in cuts.values() for p in c} if p not in self.whole and p not in self.tokens_of]
+        mapped = [p.encode().decode("latin-1").translate(self.visible) for p in todo]
+        fresh = {p: struct.pack(f"<{len(ids)}I", *ids) for p, ids in zip(todo, self.model.encode(mapped, num_threads=1) if todo else ())}
+        look = {**self.whole, **self.tokens_of, **fresh}
+        long = {}
+        for s, parts in cuts.items():
+            (self.stretches if len(s) <= LONGEST_REMEMBERED else long)[s] = b"".join([look[p] for p in parts])
+        self.tokens_of.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST_REMEMBERED)
+        if long:
+            look = {**self.stretches, **long}
+            return [b"".join([look[s] for s in t]) for t in texts]
+        return [b"".join(map(self.stretches.__getitem__, t)) for t in texts]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, memoryview(packed).cast("I") if packed else ()))
