@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorform.llm import bpe, langid, licenses, shards, winnow
+from priorform.llm import bpe, langid, licenses, mil, shards, winnow
 from priorform.llm._common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,15 @@ def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from labels whose crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, folder, "documents")
+    model = mil.train(docs, table(spark, folder, "labels").where(~held_out(4, 2)))
+    scored = mil.score(docs, model, keep=["doc_id", held_out(4, 2).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query
 def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in eight shards of one mixture, row counts at most one apart."""
