@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorform.llm import bpe, langid, licenses, mil, shards, winnow
+from priorform.llm import bpe, jaccard, langid, licenses, mil, shards, winnow
 from priorform.llm._common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", held_out(4, 2).alias("held_out")])
 
 
+@query
+def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard.link(table(spark, folder, "documents"), width=3, percent=90)
+
+
 @query
 def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Licence lines in every document."""
