@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorform.llm import bpe, jaccard, langid, licenses, mil, shards, winnow
+from priorform.llm import bpe, jaccard, langid, licenses, mil, nndescent, shards, winnow, wordpiece
 from priorform.llm._common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SEED = 20
+PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -50,6 +52,15 @@ def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Word-piece lengths of every document with the pieces of a public vocabulary."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+    first, inner = wordpiece.split_vocabulary(map(model.id_to_piece, plain))
+    return wordpiece.counts(table(spark, folder, "documents"), first, inner)
+
+
 @query
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, learned from labels whose crc32(doc_id) mod 4 is not 2."""
@@ -81,6 +92,13 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@query
+def op10_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings at a cosine of 0.95 or more, their number of links and components."""
+    found, _ = nndescent.near_duplicates(table(spark, folder, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 ORACLES["op7_decontamination"] = r"""
 with bench as (
   select cast(item_id as varchar) as item,
