@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +52,9 @@ def text_bytes(text_col: str = "text") -> Column:
 
 
 def map_arrow(
-    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list | np.ndarray | pa.Array] | None], schema: str
+    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list | np.ndarray | pa.Array] | None], schema: str, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``mapInArrow`` with columns as Python lists in, columns out."""
+    """``mapInArrow`` with columns as Python lists in, columns out; ``keep`` columns stay Arrow arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -63,10 +63,10 @@ def map_arrow(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+                out = fn({n: batch.column(i) if n in keep else batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 if out is not None:
                     yield pa.RecordBatch.from_arrays(
-                        [v if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in ((f, out[f.name]) for f in target)],
+                        [v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in ((f, out[f.name]) for f in target)],
                         schema=target,
                     )
 
@@ -111,6 +111,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(out + np.uint64(k))
 
 
-def row_key(text: bytes | None) -> int:
-    """A 64-bit signed key of the text; with the id it tells rows apart that share an id."""
-    return np.uint64(xxhash.xxh3_64_intdigest(text or b"", seed=0 if text is None else 1)).astype(np.int64).item()
+
+def text_key(text_col: str = "text") -> Column:
+    """A 64-bit key of the text; with the id it tells rows apart that share an id."""
+    return F.xxhash64(F.col(text_col))

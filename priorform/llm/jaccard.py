@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorform.llm._common import LOWER, WordHashes, gram_hashes, map_arrow, mixed, store, text_bytes
+from priorform.llm._common import LOWER, WordHashes, gram_hashes, map_arrow, mixed, store, text_bytes, text_key
 from priorform.llm.components import components
 
 CELLS = 20  # bits of the frequency sketch: 4 MB of counts, whatever the corpus
@@ -116,7 +116,7 @@ def index_entries(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.nd
 def _facts_and_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Rows of documents (id, class key, size) and, at the end of a partition, blocks of its token counts."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, o binary, n bigint, block int, counts binary"
+    schema = f"id {kind}, k bigint, o binary, n bigint, block int, counts binary"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -125,24 +125,24 @@ def _facts_and_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, seen = WordHashes(), np.zeros(1 << CELLS, np.int32), False
 
-        def rows(ids, o, n, block, data):
-            size = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(v if v is not None else [None] * size, f.type) for v, f in zip((ids, o, n, block, data), target)], schema=target)
+        def rows(*columns):
+            size = max(len(c) for c in columns if c is not None)
+            return pa.RecordBatch.from_arrays([pa.array(v if v is not None else [None] * size, f.type) for v, f in zip(columns, target)], schema=target)
 
         for batch in batches:
             o, n = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text, width, hashes)
                 n.append(len(s))
                 o.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 np.add.at(counts, cell_of(s), 1)
             seen = True
-            yield rows(batch.column(0).to_pylist(), o, n, None, None)
+            yield rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), o, n, None, None)
         if seen:
             blocks = list(range(len(counts) // BLOCK))
-            yield rows([None] * len(blocks), None, None, blocks, [counts[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks])
+            yield rows(None, None, None, None, blocks, [counts[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks])
 
-    return docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("k"), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _levels(blocks: DataFrame) -> np.ndarray:
@@ -213,7 +213,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 6) -> DataFrame:
-    """``id, n_shingles, component_id`` per input row.
+    """``id, n_shingles, component_id, group_key, text_key`` per input row (no group without shingles).
 
     Words are cut at ASCII white space after lower-casing A to Z. Documents link when 100 times the
     intersection is at least ``percent`` (80 or more) times the union of their shingle sets; ``component_id``
@@ -225,7 +225,7 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
     spark = docs.sparkSession
     texts = docs.select(text_bytes(text_col).alias("text"))
     both = store(_facts_and_counts(docs, id_col, text_col, width))
-    facts = both.where("block is null").select("id", "o", "n")
+    facts = both.where("block is null").select("id", "k", "o", "n")
     levels = spark.sparkContext.broadcast(_levels(both.where("block is not null").select("block", "counts")))
     hashes = WordHashes()
 
@@ -303,8 +303,8 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
     if labels is not None:
         named = classes.join(labels, classes["o"] == labels["node"], "left").select("o", "least", F.coalesce("comp", "o").alias("comp"))
         least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-        classes = named.join(least, "comp").select("o", "component_id")
+        classes = named.join(least, "comp").select("o", "component_id", "comp")
     else:
-        classes = classes.withColumnRenamed("least", "component_id")
+        classes = classes.select("o", F.col("least").alias("component_id"), F.col("o").alias("comp"))
     out = facts.join(classes, "o", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("comp").alias("group_key"), F.col("k").alias("text_key"))

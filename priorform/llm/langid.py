@@ -132,8 +132,8 @@ def train(
     return LanguageModel(languages, orders, tables, [-penalty] * (orders + 1))
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str | Column] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns of ``docs`` (all by default, the two new ones replaced) with ``lang_pred, score``.
+def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str | Column] | None = None, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs`` (all by default, the two new ones replaced) with the columns ``into``.
 
     ``und`` and 0 for a null text, a text without a letter, or a model without languages. Repeated rows are
     repeated in the result. Texts are read whole.
@@ -143,9 +143,10 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str | Column]
 
     def run(cols):
         labels, scores = shipped.value.predict(cols["__text"], memory)
-        return {**{k: v for k, v in cols.items() if k != "__text"}, "lang_pred": labels, "score": scores}
+        return {**{k: v for k, v in cols.items() if k != "__text"}, into[0]: labels, into[1]: scores}
 
-    kept = docs.select(*(keep if keep is not None else [c for c in docs.columns if c not in ("lang_pred", "score")]))
-    source = docs.select(*(keep if keep is not None else kept.columns), F.col(text_col).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return map_arrow(source, run, f"{fields}, lang_pred string, score double")
+    names = keep if keep is not None else [c for c in docs.columns if c not in into]
+    kept = docs.select(*names).schema.fields
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    source = docs.select(*names, F.col(text_col).alias("__text"))
+    return map_arrow(source, run, f"{fields}, `{into[0]}` string, `{into[1]}` double", keep=[f.name for f in kept])

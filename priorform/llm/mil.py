@@ -195,8 +195,8 @@ def train(
     return fit(np.concatenate(xs), np.array(ns), np.array(ys), words, **options)
 
 
-def score(docs: DataFrame, model: AttentionModel | None, *, keep: list[str | Column] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns of ``docs`` (all by default, ``score`` replaced) with ``score`` from 0 to 1.
+def score(docs: DataFrame, model: AttentionModel | None, *, keep: list[str | Column] | None = None, text_col: str = "text", into: str = "score") -> DataFrame:
+    """``keep`` columns of ``docs`` (all by default, ``into`` replaced) with the score ``into`` from 0 to 1.
 
     One row per input row. A null or empty text is one passage without words and is scored like any other;
     without a model every score is 0.5.
@@ -207,12 +207,13 @@ def score(docs: DataFrame, model: AttentionModel | None, *, keep: list[str | Col
     def run(cols):
         texts = cols.pop("__text")
         if shipped.value is None:
-            return {**cols, "score": [0.5] * len(texts)}
+            return {**cols, into: [0.5] * len(texts)}
         out = []
         for at in range(0, len(texts), 256):
             out += shipped.value.scores(*encoder.features(texts[at : at + 256])).tolist()
-        return {**cols, "score": out}
+        return {**cols, into: out}
 
-    names = keep if keep is not None else [c for c in docs.columns if c != "score"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return map_arrow(docs.select(*names, F.col(text_col).alias("__text")), run, f"{fields}, score double")
+    names = keep if keep is not None else [c for c in docs.columns if c != into]
+    kept = docs.select(*names).schema.fields
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return map_arrow(docs.select(*names, F.col(text_col).alias("__text")), run, f"{fields}, `{into}` double", keep=[f.name for f in kept])

@@ -43,7 +43,7 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
-    return jaccard.link(table(spark, folder, "documents"), width=3, percent=90)
+    return jaccard.link(table(spark, folder, "documents"), width=3, percent=90).drop("group_key", "text_key")
 
 
 @query

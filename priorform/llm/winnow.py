@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorform.llm._common import WORD_BYTES, WordHashes, gram_hashes, map_arrow, row_key, store, text_bytes
+from priorform.llm._common import WORD_BYTES, WordHashes, gram_hashes, map_arrow, store, text_bytes, text_key
 
 BITS = 24  # of the bitmap: 2 MB, whatever the size of the benchmark
 POINT = "array<struct<h:bigint,p:int,words:array<bigint>>>"
@@ -112,9 +112,9 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col:
                 at, h = promising(np.arange(len(h)), h)
                 found += [{"h": a, "p": b, "words": c} for a, b, c in zip(h.view(np.int64).tolist(), at.tolist(), around(words, at, n, n).view(np.int64).tolist())]
             points_.append(found)
-        return {"id": cols["id"], "k": [row_key(t) for t in cols["text"]], "n_words": sizes, "points": points_}
+        return {"id": cols["id"], "k": cols["k"], "n_words": sizes, "points": points_}
 
-    read = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+    read = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("k"), text_bytes(text_col).alias("text"))
     facts = store(map_arrow(read, of_docs, f"id {id_type}, k bigint, n_words bigint, points {POINT}"))
     wanted = facts.where(F.size("points") > 0).select("id", "k", F.explode("points").alias("x")).select("id", "k", "x.h", "x.p", "x.words")
 
@@ -143,7 +143,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col:
 
 
 def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """One row per document: ``id, n_words, n_hit, n_items, items (sorted), contaminated``; see :func:`hits`."""
+    """One row per document: ``id, n_words, n_hit, n_items, items (sorted), contaminated, text_key``; see :func:`hits`."""
     id_col = options.get("id_col", "doc_id")
     facts, spans = hits(docs, items, **options)
 
@@ -166,4 +166,5 @@ def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
         F.col("f.id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"),
+        F.col("f.k").alias("text_key"),
     )
