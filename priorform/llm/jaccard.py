@@ -5,7 +5,7 @@ partner, so a prefix that survives any d misses must share something with the pa
 rare in the corpus are indexed alone. Tokens of the two frequent classes are indexed by combinations of k = 2 and
 k = 3 of them: a class's tokens are dealt by hash into groups, j tokens of a group survive with a common
 combination after max(0, j - k + 1) more misses, and the prefix is extended until all groups together survive
-d + 1. The number of groups goes with the size of the sets (a set near the border of two size tiers is indexed in
+d + 1, and some more: then partners share several entries, and a set that shares fewer with all others is done. The number of groups goes with the size of the sets (a set near the border of two size tiers is indexed in
 both), so the combinations of a set stay in proportion to its size. Sets of fewer than 1 / (1 - t) tokens link
 only if they are equal.
 
@@ -53,6 +53,11 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(1 + excess)).astype(np.uint8)
 
 
+def shared_least(n: int, percent: int) -> int:
+    """How many index entries a set of n tokens has at least in common with any partner."""
+    return 1 + 3 * -(-percent * n // 100) // 100
+
+
 def tiers_of(n: int, percent: int) -> list[int]:
     """First sizes of the tiers in which a set of n tokens is indexed; similar sets share a tier."""
     out, low = [], 1
@@ -83,21 +88,23 @@ def _combinations(tokens: np.ndarray, groups: np.ndarray, k: int, salt: int) ->
 
 
 def index_entries(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """Index entries of a set: two sets of Jaccard similarity ``percent`` share one (equal sets apart)."""
+    """Index entries of a set. Equal sets apart, two sets of Jaccard similarity ``percent`` share at least
+    ``shared_least`` of either set: prefixes are longer by what the smallest partner asks."""
     n = len(tokens)
     misses = n - -(-percent * n // 100)
+    least = 1 + 3 * n // 100
     if misses == 0:
         return np.zeros(0, np.uint64)
     level = levels[cell_of(tokens)]
     order = np.lexsort((tokens, level))
     tokens, level = tokens[order], level[order]
     alone = int((level <= np.log2(1 + RARE)).sum())
-    if alone > misses:
-        return mixed(tokens[: misses + 1])
+    if alone >= misses + least:
+        return mixed(tokens[: misses + least])
     out = [mixed(tokens[:alone])]
     pairs = int((level <= np.log2(1 + COMMON)).sum())
     for low in tiers_of(n, percent):
-        need = misses + 1 - alone
+        need = misses + least - alone
         for k, part, groups in ((2, tokens[alone:pairs], max(1, low // 8)), (3, tokens[pairs:], max(1, low // 16))):
             if need <= 0 or not len(part):
                 continue
@@ -172,23 +179,31 @@ def _short(key: bytes) -> int:
 
 
 def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (entry, owner) rows those whose entry has another owner; holds one row between batches."""
-    e, o, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    names = ["e", "o"]
+    """Of sorted (entry, owner, least) rows those whose entry has another owner; holds one row between batches."""
+    held, kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], False
+    names = ["e", "o", "least"]
     for batch in batches:
-        e = np.concatenate([e, batch.column(0).to_numpy(zero_copy_only=False)])
-        o = np.concatenate([o, batch.column(1).to_numpy(zero_copy_only=False)])
-        new = np.concatenate([[True], (e[1:] != e[:-1]) | (o[1:] != o[:-1])])
-        e, o = e[new], o[new]
-        if not len(e):
+        rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+        e, o = rows[:2]
+        new = np.concatenate([[True], (e[1:] != e[:-1]) | (o[1:] != o[:-1])])[: len(e)]
+        rows = [r[new] for r in rows]
+        if not len(rows[0]):
             continue
-        same = e[1:] == e[:-1]
+        same = rows[0][1:] == rows[0][:-1]
         before, after = np.concatenate([[kept], same]), np.concatenate([same, [False]])
-        keep = before | after
-        yield pa.RecordBatch.from_arrays([pa.array(e[:-1][keep[:-1]]), pa.array(o[:-1][keep[:-1]])], names=names)
-        e, o, kept = e[-1:], o[-1:], bool(before[-1])
+        keep = (before | after)[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(r[:-1][keep]) for r in rows], names=names)
+        held, kept = [r[-1:] for r in rows], bool(before[-1])
     if kept:
-        yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(o)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(r) for r in held], names=names)
+
+
+def _pruned(live: DataFrame) -> DataFrame:
+    """Without owners that share fewer entries than any partner would ask, and entries left with one owner."""
+    enough = live.groupBy("o").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("m")).where("n >= m").select("o")
+    left = live.join(enough, "o", "left_semi")
+    shared = left.groupBy("e").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("e")
+    return store(left.join(shared, "e", "left_semi"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,19 +245,23 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
     hashes = WordHashes()
 
     def entries(cols):
-        out, owners = [], []
+        out, owners, least = [], [], []
         for text in {*cols["text"]}:
             s = shingles(text, width, hashes)
             e = index_entries(s, levels.value, percent) if len(s) else s
             if len(e):
                 out.append(e)
                 owners.append(np.full(len(e), _short(_key(s)), np.int64))
+                least.append(np.full(len(e), shared_least(len(s), percent), np.int32))
         if not out:
             return None
-        return {"e": pa.array(np.concatenate(out).view(np.int64)), "o": pa.array(np.concatenate(owners))}
+        return {"e": pa.array(np.concatenate(out).view(np.int64)), "o": pa.array(np.concatenate(owners)), "least": pa.array(np.concatenate(least))}
 
-    index = map_arrow(texts, entries, "e bigint, o bigint")
-    live = store(index.repartition("e").sortWithinPartitions("e", "o").mapInArrow(_shared_entries, "e bigint, o bigint"))
+    columns = "e bigint, o bigint, least int"
+    index = map_arrow(texts, entries, columns)
+    live = store(index.repartition("e").sortWithinPartitions("e", "o").mapInArrow(_shared_entries, columns))
+    for _ in range(2):
+        live = _pruned(live)
     cells = live.select(F.expr("shiftrightunsigned(o, 45)").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(o, 40) & 31 as int))").alias("b"))
     bitmap = np.zeros(1 << 19, np.uint32)  # 2 MB: short keys of classes that meet others, by their first 24 bits
     for w, b in cells.groupBy("w").agg(F.bit_or("b")).collect():
@@ -262,9 +281,9 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
                         out[name].append(v)
         return out
 
-    met = live.select(F.col("o").alias("short")).distinct()
+    owners = live.select(F.col("o").alias("short")).distinct()
     wanted = map_arrow(texts, sets_of, "short bigint, o binary, n bigint, tokens binary")
-    sets = store(wanted.join(met, "short", "left_semi").dropDuplicates(["o"]))
+    sets = store(wanted.join(owners, "short", "left_semi").dropDuplicates(["o"]))
 
     edges, tested, labels = [], [], None
     for turn in range(star_rounds + 1):
@@ -272,21 +291,23 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
             now = live.withColumn("c", F.col("o"))
         else:
             comp = sets.join(labels, sets["o"] == labels["node"]).groupBy("short").agg(F.min(F.xxhash64("comp")).alias("c"))
-            now = live.join(comp.withColumnRenamed("short", "o"), "o", "left").select("e", "o", F.coalesce("c", "o").alias("c"))
+            now = live.join(comp.withColumnRenamed("short", "o"), "o", "left").select("e", "o", "least", F.coalesce("c", "o").alias("c"))
         split = now.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo <> hi").select("e", "g")
         now = store(now.join(split, "e"))
-        rows, most = now.agg(F.count(F.lit(1)), F.max("g")).first()
+        rows, pairs_left = now.agg(F.count(F.lit(1)), F.sum((F.col("g") - 1) / 2)).first()
         if not rows:
             break
-        last = turn == star_rounds or most <= 4
-        if last:  # what stars left apart: every pair of an entry that is not connected yet
-            other = now.select("e", F.col("o").alias("p"), F.col("c").alias("d"))
-            pairs = now.join(other, "e").where("o < p and c <> d").select(F.col("o").alias("x"), F.col("p").alias("y"))
+        last = turn == star_rounds or pairs_left <= 4 * rows
+        if last:  # what stars left apart: every pair that is not connected yet and shares as many entries as both ask
+            other = now.select("e", F.col("o").alias("p"), F.col("c").alias("d"), F.col("least").alias("m"))
+            met = now.join(other, "e").where("o < p and c <> d").groupBy(F.col("o").alias("x"), F.col("p").alias("y"))
+            met = met.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("least", "m")).alias("m"))
+            pairs = met.where("n >= m").select("x", "y")
         else:
             drawn = F.xxhash64("o", F.lit(turn))
             centre = now.groupBy("e").agg(F.min_by("o", drawn).alias("p"), F.min_by("c", drawn).alias("d"))
             pairs = now.join(centre, "e").where("o <> p and c <> d").select(F.least("o", "p").alias("x"), F.greatest("o", "p").alias("y"))
-        pairs = pairs.distinct()
+            pairs = pairs.distinct()
         for before in tested:
             pairs = pairs.join(before, ["x", "y"], "left_anti")
         pairs = store(pairs)
