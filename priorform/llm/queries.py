@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorform.llm import bpe, jaccard, langid, licenses, mil, nndescent, shards, winnow, wordpiece
+from priorform.llm import bpe, jaccard, langid, licenses, mil, nndescent, pitman, shards, winnow, wordpiece
 from priorform.llm._common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,14 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+@query
+def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every document, learned from those with crc32(doc_id) mod 10 other than 0."""
+    docs = table(spark, folder, "documents")
+    scored = pitman.score(docs, ~held_out(10, 0))
+    return scored.select("doc_id", held_out(10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
