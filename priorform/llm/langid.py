@@ -29,7 +29,9 @@ REMEMBERED = 400_000
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    """Character n-grams of a word between blanks; the whole padded word when it is shorter."""
+    """Character n-grams of a word between blanks; the whole padded word when it is shorter. No lone blank."""
+    if n == 1:
+        return [*word]
     padded = f" {word} "
     return [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
 
