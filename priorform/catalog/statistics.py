@@ -353,22 +353,22 @@ def _dmr_2d(t: Tables, pairs) -> DataFrame:
     return rounded(binned.dmr_2d(stage(_facts(t)), pairs, kinds, "filled"), "dmr", "wdmr", scale=SMALL)
 
 
-@query("dmr_2d_cat_cat", _dmr_2d_query(_CAT_PAIRS[:2], KINDS))
+@query("dmr_2d_cat_cat", _dmr_2d_query(_CAT_PAIRS, KINDS))
 def dmr_2d_cat_cat(t: Tables) -> DataFrame:
     """Two categories against the response."""
-    return _dmr_2d(t, _CAT_PAIRS[:2])
+    return _dmr_2d(t, _CAT_PAIRS)
 
 
-@query("dmr_2d_cat_cont", _dmr_2d_query(_MIXED[:2], KINDS))
+@query("dmr_2d_cat_cont", _dmr_2d_query(_MIXED, KINDS))
 def dmr_2d_cat_cont(t: Tables) -> DataFrame:
     """A category and a binned number."""
-    return _dmr_2d(t, _MIXED[:2])
+    return _dmr_2d(t, _MIXED)
 
 
-@query("dmr_2d_cont_cont", _dmr_2d_query(_CONT_PAIRS[:2], KINDS))
+@query("dmr_2d_cont_cont", _dmr_2d_query(_CONT_PAIRS, KINDS))
 def dmr_2d_cont_cont(t: Tables) -> DataFrame:
     """Two binned numbers."""
-    return _dmr_2d(t, _CONT_PAIRS[:2])
+    return _dmr_2d(t, _CONT_PAIRS)
 
 
 def _dense_sql(x: str, y: str) -> str:

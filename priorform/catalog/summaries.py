@@ -96,13 +96,11 @@ def crosstab(t: Tables) -> DataFrame:
 @query(
     "value_counts_pivot",
     """
-select source, sum(case when lang = 'de' then 1 end)::bigint as de, sum(case when lang = 'en' then 1 end)::bigint as en,
-       sum(case when lang = 'es' then 1 end)::bigint as es, sum(case when lang = 'fr' then 1 end)::bigint as fr
-from documents group by source""",
+select * from (pivot (select source, lang, 1::bigint as one from documents) on lang using sum(one)::bigint group by source)""",
 )
 def value_counts_pivot(t: Tables) -> DataFrame:
     """Counts by source and language, absent pairs NULL."""
-    return summaries.value_counts_pivot(t.documents, "source", "lang", ["de", "en", "es", "fr"])
+    return summaries.value_counts_pivot(t.documents, "source", "lang")
 
 
 _STATS = ("min", "q25", "median", "mean", "q75", "max")

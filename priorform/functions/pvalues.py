@@ -31,8 +31,12 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < eps:
-            break
-    return h
+            return h
+    raise ArithmeticError("the continued fraction did not settle")
+
+
+# Beyond, the error of the normal expansion (of the order of 1 / dof^2) is below a double's digits.
+NORMAL_BEYOND = 1e6
 
 
 def student_two_sided(t: float | None, dof: float | None) -> float | None:
@@ -41,6 +45,8 @@ def student_two_sided(t: float | None, dof: float | None) -> float | None:
         return None
     if math.isinf(t):
         return 0.0
+    if dof > NORMAL_BEYOND:
+        return normal_two_sided(t * (1.0 - 1.0 / (4.0 * dof)) / math.sqrt(1.0 + t * t / (2.0 * dof)))
     a, b, x = dof / 2.0, 0.5, dof / (dof + t * t)
     if x >= 1.0:
         return 1.0

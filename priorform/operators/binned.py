@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorform.operators.cleaning import plain_double
-from priorform.operators.encoding import levels
 from priorform.operators.literals import literal_rows
 from priorform.operators.summaries import bin_number, extremes, grid_edges
 
@@ -411,19 +410,16 @@ def dense_cells(
     total, mean = population(df, response)
     codes = codes_for(df, kinds)
     cells = cell_table(pair_cells(df, [(x, y)], codes, response, blocked=False), total, mean)
-    axes = {}
-    for name, c in (("a", x), ("b", y)):
+
+    def axis(c: str) -> Column:
+        """All levels as one array: numbers have their bins, categories what a distinct finds."""
         if kinds[c] == "cont":
-            axis = [str(b) for b in range(1, BINS + 1)]
-        else:
-            axis = [str(v) for v in levels(df, c)]
-        axes[name] = F.array(*[F.lit(v) for v in axis]).cast("array<string>")
-    # Levels are listed, so the grid is a constant table of levels by levels.
-    grid = (
-        df.sparkSession.range(1, numPartitions=1)
-        .select(F.explode(axes["a"]).alias("a"))
-        .select("a", F.explode(axes["b"]).alias("b"))
-    )
+            return F.array(*[F.lit(str(b)) for b in range(1, BINS + 1)])
+        return F.array_sort(F.collect_set(F.col(c).cast("string")))
+
+    # The grid is the output's own size, levels by levels.
+    lists = df.agg(*[axis(c).alias(n) for n, c in (("a", x), ("b", y))])
+    grid = lists.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
     return grid.join(cells, on=["a", "b"], how="left").select(
         "a", "b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "mean",
         F.coalesce("share", F.lit(0.0)).alias("share"),

@@ -11,15 +11,10 @@ from pyspark.sql.types import BooleanType, NumericType
 from priorform.functions.dates import season
 from priorform.operators.ordering import row_index
 
-# One-hot columns are columns: more levels than this are a modelling mistake and raise.
-MAX_LEVELS = 1000
 
-
-def levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-NULL values; raises beyond ``limit``."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} levels")
+def levels(df: DataFrame, column: str) -> list:
+    """Sorted distinct non-NULL values, for outputs that have one column per level."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(r[0] for r in found)
 
 
@@ -28,7 +23,8 @@ def one_hot(
 ) -> DataFrame:
     """Replace a category by 0/1 columns for all its sorted levels but the first.
 
-    A NULL category is 0 everywhere. Pass ``values`` to fix the levels (and save a pass).
+    A NULL category is 0 everywhere. Pass ``values`` to fix the levels (and save a pass). The result
+    has a column per level; :func:`one_hot_vector` is the form for categories of very many levels.
     """
     values = list(values) if values is not None else levels(df, column)
     prefix = prefix or column
@@ -39,6 +35,22 @@ def one_hot(
     return df.select(*[c for c in df.columns if c != column], *dummies)
 
 
+def one_hot_vector(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """Add a sparse vector with a 1 at the place of the level, none for NULL and for the first level.
+
+    Codes are joined, so the number of levels has no bound but the vector's length.
+    """
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    codes = label_codes(df, column)
+    size = codes.count() - 1
+    vector = F.udf(lambda c: SparseVector(max(size, 0), [c - 1], [1.0]) if c else SparseVector(max(size, 0), [], []), VectorUDT())
+    name = name or f"{column}_vector"
+    none = df.sparkSession.createDataFrame([(None, 0)], codes.schema)
+    coded = codes.unionByName(none).select(F.col("level").alias("__level"), vector("code").alias(name))
+    return df.join(coded, F.col(column).eqNullSafe(F.col("__level")), "left").select(*df.columns, name)
+
+
 def label_codes(df: DataFrame, column: str, *, order_by: str | None = None) -> DataFrame:
     """(level, code): codes from 0 by first appearance in ``order_by``, else by value."""
     seen = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priorform.sources.sinks import stage
+
 # Keys sampled per range when split points are chosen.
 SAMPLES_PER_RANGE = 32
 # Aimed-at rows per range; a table of no more rows than this is one range.
@@ -69,23 +71,21 @@ def row_index(
 ) -> DataFrame:
     """1-based position in the ascending order of ``order_by`` (which must be a total order).
 
-    Rows are split into key ranges; one small count per range gives the offsets, and rows
-    are numbered inside each range. No window runs over the whole table.
+    Rows are range partitioned, sorted inside their partitions and stored with their place there, so
+    no recomputed task can deal them out anew; what comes before a partition is one number each.
     """
-    bucket = range_bucket(df, order_by, parts)
-    if bucket is None:
-        # A table of checked size is numbered in one piece.
-        order = Window.partitionBy(F.lit(0)).orderBy(*order_by)
-        return df.withColumn(name, F.row_number().over(order).cast("bigint"))
-    bucketed = df.withColumn("__bucket", bucket)
-    counts = {r["__bucket"]: r["n"] for r in bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, seen = [], 0
-    for b in range(max(counts, default=0) + 1):
-        offsets.append(F.lit(seen).cast("bigint"))
-        seen += counts.get(b, 0)
-    w = Window.partitionBy("__bucket").orderBy(*order_by)
-    position = F.get(F.array(*offsets), F.col("__bucket")) + F.row_number().over(w)
-    return bucketed.withColumn(name, position.cast("bigint")).drop("__bucket")
+    ranged = df.repartitionByRange(parts, *order_by) if parts else df.repartitionByRange(*order_by)
+    stored = stage(ranged.sortWithinPartitions(*order_by).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    before, seen = [], 0
+    for r in stored.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        before.append((r["p"], seen))
+        seen += r["n"]
+    # One row per partition.
+    offsets = df.sparkSession.createDataFrame(before, "__part bigint, __before bigint")
+    position = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    placed = stored.join(F.broadcast(offsets), part == F.col("__part"))
+    return placed.select(*df.columns, position.cast("bigint").alias(name))
 
 
 def ranked(df: DataFrame, metric: str, *ties: str) -> DataFrame:

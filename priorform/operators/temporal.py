@@ -3,8 +3,8 @@
 Every frame here is measured in whole days, so all rows of one entity on one day share the
 same history. That gives two ways to the same result:
 
-* in place: one shuffle by entity and range frames over the rows. Taken when the largest
-  entity is known to be small (a count per entity, combined before its shuffle, decides).
+* in place: one shuffle by entity and range frames over the rows, for callers that know that
+  entities are small.
 * daily: rows are first combined to one row per (entity, day) on the map side, frames run
   over those daily rows (at most as many per entity as the calendar has days, however many
   rows there are), and the result is joined back on (entity, day). A hot entity never sits
@@ -25,8 +25,6 @@ from priorform.functions.rates import col
 
 DAY = "__day"
 SEASON = "__season"
-# Entities of at most this many rows may be framed in one task.
-IN_PLACE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -122,18 +120,18 @@ def with_history(
     sums: Mapping[str, Column | str] | None = None,
     means: Mapping[str, Column | str] | None = None,
     count: str | None = "n",
-    way: str = "auto",
+    way: str = "daily",
 ) -> DataFrame:
     """The rows of ``df`` with their history columns; same arguments as :func:`daily_history`.
 
-    Rows without entity or date are kept with NULL history. ``way`` is "daily", "in_place"
-    (the caller knows that entities are small, such as after :func:`dedupe_entity_day`), or
-    "auto": in place if no entity has more than IN_PLACE_ROWS rows, which takes one count.
+    Rows without entity or date are kept with NULL history. ``way`` is "daily" for entities of any
+    size, or "in_place" if the caller knows that entities are small, such as after
+    :func:`dedupe_entity_day`.
     """
     entity = _names(entity)
-    if way not in ("auto", "daily", "in_place"):
+    if way not in ("daily", "in_place"):
         raise ValueError(f"unknown way {way!r}")
-    if way == "in_place" or (way == "auto" and _largest(df, entity) <= IN_PLACE_ROWS):
+    if way == "in_place":
         return _history_in_place(df, entity, ts, horizons, dict(sums or {}), dict(means or {}), count)
     history = daily_history(df, entity, ts, horizons, sums=sums, means=means, count=count)
     added = [c for c in history.columns if c not in (*entity, DAY)]
@@ -141,21 +139,14 @@ def with_history(
     return rows.join(history, on=[*entity, DAY], how="left").select(*df.columns, *added)
 
 
-def _largest(df: DataFrame, entity: Sequence[str]) -> int:
-    """Rows of the entity that has most."""
-    known = df.select(*entity).na.drop()
-    counts = known.groupBy(*entity).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def _history_in_place(df, entity, ts, horizons, sums, means, count) -> DataFrame:
     rows = df.withColumn(DAY, day_number(ts)).withColumns(_parts(sums, means))
     rows = rows.transform(_with_season, horizons)
     unknown = F.col(DAY).isNull()
     for e in entity:
         unknown = unknown | F.col(e).isNull()
-    # Rows without a place in time have no history; a hash keeps them out of one another's group.
-    apart = F.when(unknown, F.xxhash64(*df.columns))
+    # Rows without a place in time have no history; a hash of what is read anyway spreads them.
+    apart = F.when(unknown, F.xxhash64(*entity, ts, *_parts(sums, means)))
     rows = rows.withColumn("__apart", apart)
     frames = _over(horizons, [*entity, "__apart"], sums, means, count)
     names = [n for suffix in horizons for n in [f"{m}_{suffix}" for m in (*sums, *means, *([count] if count else []))]]

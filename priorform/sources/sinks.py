@@ -48,7 +48,7 @@ def stage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="priorform-"))
         folder = context.getCheckpointDir()

@@ -49,8 +49,15 @@ def test_one_hot_drops_the_first_level_and_null_is_zero(spark):
     got = encoding.one_hot(df, "c").orderBy("k")
     assert got.columns == ["k", "c_b", "c_c"]
     assert [tuple(r) for r in got.collect()] == [(1, 1, 0), (2, 0, 0), (3, 0, 0), (4, 0, 1)]
-    with pytest.raises(ValueError):
-        encoding.levels(df, "k", limit=2)
+
+
+def test_many_levels(spark):
+    df = spark.createDataFrame([(i, f"v{i:04d}" if i else None) for i in range(1501)], "k int, c string")
+    wide = encoding.one_hot(df, "c")
+    assert len(wide.columns) == 1500 and encoding.levels(df, "c")[-1] == "v1500"
+    got = {r["k"]: r["c_vector"] for r in encoding.one_hot_vector(df, "c").select("k", "c_vector").collect()}
+    assert len(got) == 1501 and got[0].numNonzeros() == got[1].numNonzeros() == 0
+    assert got[2].size == 1499 and got[2][0] == 1.0 and got[1500][1498] == 1.0
 
 
 def test_label_encode(spark):

@@ -54,7 +54,7 @@ def history(spark, rows, **kw):
 EDGES = [0, 1, 2, 99, 100, 101, 101, 214, 215, 216, 220]
 
 
-@pytest.mark.parametrize("way", ["auto", "daily", "in_place"])
+@pytest.mark.parametrize("way", ["daily", "in_place"])
 def test_frames_match_the_self_join(spark, way):
     rows = [(1, day(n), i, i * i) for i, n in enumerate(EDGES)]
     rows += [(2, day(5), 50, 7), (3, day(0), 60, None), (3, day(3), 61, 4), (3, None, 62, 1), (None, day(3), 63, 1)]
@@ -72,10 +72,19 @@ def test_closed_and_open_differ_exactly_at_distance_100(spark):
     assert differ == {i for i, n in enumerate(EDGES) if n - 100 in EDGES}
 
 
-@pytest.mark.parametrize("limit", [100, 10**6])
-def test_hot_entity_and_hot_day(spark, monkeypatch, limit):
-    """A third of all rows on one entity, half of those on one day; beyond and below the limit."""
-    monkeypatch.setattr(tp, "IN_PLACE_ROWS", limit)
+def test_frames_with_a_map_column_read_only_what_they_use(spark, tmp_path):
+    rows = [(1, day(0), {"a": 1}, 5), (1, day(3), {"b": 2}, 6), (None, day(3), {}, 7)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "e bigint, day date, m map<string,int>, v bigint").write.parquet(path)
+    for way in ("daily", "in_place"):
+        out = tp.with_history(spark.read.parquet(path), "e", "day", HORIZONS, sums={"s": "v"}, way=way)
+        assert sorted(((r["v"], r["s_closed"]) for r in out.collect()), key=str) == [(5, None), (6, 5), (7, None)]
+        plan = out.select("e", "day", "s_closed")._jdf.queryExecution().executedPlan().toString()
+        assert "m#" not in plan.split("ReadSchema")[-1] and "map<" not in plan
+
+
+def test_hot_entity_and_hot_day(spark):
+    """A third of all rows on one entity, half of those on one day."""
     rnd = random.Random(3)
     rows = [(9, day(40 if rnd.random() < 0.5 else rnd.randrange(300)), i, rnd.randrange(9)) for i in range(200)]
     rows += [(rnd.randrange(8), day(rnd.randrange(300)), 1000 + i, rnd.randrange(9)) for i in range(400)]
