@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorform.operators import models
-from priorform.operators.neighbours import class_shares, nearest, vote
+from priorform.operators.neighbours import _dealt, class_shares, nearest, routes, vote
 
 
 def points(spark, n=120, dims=3, seed=1):
@@ -22,15 +22,29 @@ def brute(rows, tests, k):
     return out
 
 
-@pytest.mark.parametrize("limit", [10**6, 1])
-def test_nearest_with_many_ties(spark, limit):
-    """Broadcast and block form agree with the sorted list; grid points tie a lot."""
+@pytest.mark.parametrize("block_rows", [10**6, 4])
+def test_nearest_with_many_ties(spark, block_rows):
+    """Whole and split cells agree with the sorted list; grid points tie a lot."""
     rows, df = points(spark)
     test = df.where(F.col("id") % 10 == 0)
-    got = nearest(df, test, 5, broadcast_values=limit, block_rows=25).select("test_id", "train_id", "rank")
+    got = nearest(df, test, 5, block_rows=block_rows).select("test_id", "train_id", "rank")
     assert {tuple(r) for r in got.collect()} == brute(rows, [r for r in rows if r[0] % 10 == 0], 5)
 
 
+def test_a_row_visits_few_cells(spark):
+    """In clustered data the triangle inequality leaves a small part of all candidates, and loses none."""
+    rnd = random.Random(6)
+    rows = [(i, [50.0 * (i % 12) + rnd.gauss(0, 1), rnd.gauss(0, 1)], "a") for i in range(1200)]
+    df = spark.createDataFrame(rows, "id bigint, features array<double>, label string")
+    test = df.where("id % 40 = 0")
+    dealt, cells = _dealt(df, 3)
+    sizes = {r["cell"]: r["count"] for r in dealt.groupBy("cell").count().collect()}
+    candidates = sum(sizes[r["cell"]] for r in routes(test.select("id", "features"), cells, 3).collect())
+    assert candidates < 0.2 * 1200 * 30
+    got = {tuple(r) for r in nearest(df, test, 3).select("test_id", "train_id", "rank").collect()}
+    assert got == brute(rows, [r for r in rows if r[0] % 40 == 0], 3)
+
+
 def test_fewer_train_rows_than_k_and_no_test_rows(spark):
     rows, df = points(spark, n=3)
     assert nearest(df, df, 5).count() == 9
