@@ -8,6 +8,7 @@ from priorform.catalog import (  # noqa: F401  (imported to register)
     cleaning,
     models,
     statistics,
+    storage,
     summaries,
     temporal,
 )

@@ -161,7 +161,15 @@ def derive_category(t: Tables) -> DataFrame:
     )
 
 
-@query("random_columns")
+def _choice_sql(seed: int, options: int) -> str:
+    return f"cast('0x' || substr(md5('{seed}:' || o_orderkey), 1, 8) as bigint) % {options}"
+
+
+@query(
+    "random_columns",
+    f"select o_orderkey, {_choice_sql(1, 2)} = 0 as test1, cast({_choice_sql(2, 2)} as int) as test2,"
+    f" cast({_choice_sql(3, 100)} as int) as test3 from orders",
+)
 def random_columns(t: Tables) -> DataFrame:
     """Noise predictors that depend on the key and a seed only."""
     return t.orders.select(

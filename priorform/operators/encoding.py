@@ -82,8 +82,10 @@ def label_encode(
 
 
 def hashed_choice(keys: Sequence[str], options: Sequence, seed: int = 0) -> Column:
-    """A uniform choice per row that depends on the key and the seed only."""
-    pick = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(len(options))).cast("int")
+    """A uniform choice per row that depends on the key and the seed only, by MD5 so that other engines can repeat it."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    digits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    pick = F.pmod(digits, F.lit(len(options))).cast("int")
     return F.get(F.array(*[F.lit(o) for o in options]), pick)
 
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,15 +36,12 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     return df.where(~F.coalesce(predicate, F.lit(False)))
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Store an intermediate table that several branches read, and return it read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    It goes to a new subfolder of the folder that ``spark.checkpoint.dir`` names, as
-    parquet, so later branches read only the columns they need and a lost executor costs
-    no recomputation. Only a local session without that setting gets a folder of its own;
-    on a cluster the setting is required, because a folder of one machine is not shared.
+    Only a plain local session without that setting gets a folder of its own; on a cluster the setting is
+    required, because a folder of one machine is not shared.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
@@ -52,4 +49,13 @@ def stage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="priorform-"))
         folder = context.getCheckpointDir()
-    return materialize(df, f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}", mode="error")
+    return folder.rstrip("/")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Store an intermediate table that several branches read, and return it read back.
+
+    It goes to a new subfolder of :func:`shared_folder`, as parquet, so later branches read only the columns
+    they need and a lost executor costs no recomputation.
+    """
+    return materialize(df, f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}", mode="error")
