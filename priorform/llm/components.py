@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from priorform.llm._common import store
 
 
+def _print(links: DataFrame) -> tuple:
+    """Number of links and two sums of their hashes: equal sets of links have equal prints."""
+    sums = [F.sum(F.xxhash64("u", "v", F.lit(salt)).cast("decimal(38,0)")) for salt in (1, 2)]
+    return tuple(links.agg(F.count(F.lit(1)), *sums).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int = 200) -> DataFrame:
     """``node, comp``: for each node of an edge the smallest node that it reaches.
 
@@ -18,17 +24,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     links = store(both.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    for _ in range(max_rounds):
+    now = _print(links)
+    for _ in range(max_rounds if now[0] else 1):
         around = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
         large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = store(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = store(small.where("u <> v").distinct())
-        if small.count() == links.count() and links.join(small, ["u", "v"], "left_anti").isEmpty():
+        links = store(small.where("u <> v").distinct())
+        before, now = now, _print(links)
+        if now == before:
             break
-        links = small
     else:
         raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
     tops = links.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
