@@ -18,6 +18,7 @@ all its pairs as long as stars connect it, and no link between different compone
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from priorform.llm._common import LOWER, WordHashes, gram_hashes, map_arrow, mixed, store, text_bytes, text_key
 from priorform.llm.components import components
 
-CELLS = 20  # bits of the frequency sketch: 4 MB of counts, whatever the corpus
-BLOCK = 1 << 14
+CELLS = 24  # bits of the frequency sketch: 16 MB of levels, whatever the corpus
+BLOCK = 1 << 18
+LIGHT = 4  # entries of a set that take part in star rounds
 RARE, COMMON = 64, 4096  # estimated documents of a token up to which it is indexed alone, or in pairs
 TIER = 4
 
@@ -46,9 +48,8 @@ def cell_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELLS)).astype(np.int64)
 
 
-def levels_of(counts: np.ndarray) -> np.ndarray:
+def levels_of(counts: np.ndarray, mean: float) -> np.ndarray:
     """Rounded logarithm of how many documents hold a token of the cell, above what chance puts there."""
-    mean = counts.mean()
     excess = np.clip(counts - (mean + 4 * np.sqrt(mean)), 0, None)
     return np.floor(np.log2(1 + excess)).astype(np.uint8)
 
@@ -130,7 +131,7 @@ def _facts_and_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, seen = WordHashes(), np.zeros(1 << CELLS, np.int32), False
+        hashes, counts, seen = WordHashes(), np.zeros(1 << CELLS, np.uint32), False
 
         def rows(*columns):
             size = max(len(c) for c in columns if c is not None)
@@ -147,26 +148,26 @@ def _facts_and_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -
             yield rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), o, n, None, None)
         if seen:
             blocks = list(range(len(counts) // BLOCK))
-            yield rows(None, None, None, None, blocks, [counts[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks])
+            yield rows(None, None, None, None, blocks, [zlib.compress(counts[b * BLOCK : (b + 1) * BLOCK].tobytes(), 1) for b in blocks])
 
     return docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("k"), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _levels(blocks: DataFrame) -> np.ndarray:
-    """Sum the partitions' counts block by block and turn them into levels (1 MB)."""
+def _levels(blocks: DataFrame, mean: float) -> np.ndarray:
+    """Sum the partitions' counts block by block and turn them into levels, one byte a cell."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[block] = total.get(block, 0) + np.frombuffer(data, np.int32).astype(np.int64)
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[block] = total.get(block, 0) + np.frombuffer(zlib.decompress(data.as_py()), np.uint32).astype(np.int64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([levels_of(v, mean).tobytes() for v in total.values()], pa.binary())], names=["block", "levels"])
 
-    counts = np.zeros(1 << CELLS, np.int64)
-    for block, data in blocks.repartition(64, "block").mapInArrow(add, "block int, counts binary").toLocalIterator():
-        counts[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(data, np.int64)
-    return levels_of(counts)
+    levels = np.zeros(1 << CELLS, np.uint8)
+    for block, data in blocks.repartition(64, "block").mapInArrow(add, "block int, levels binary").toLocalIterator():
+        levels[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(data, np.uint8)
+    return levels
 
 
 def _key(tokens: np.ndarray) -> bytes:
@@ -227,7 +228,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, check, "a binary, b binary")
 
 
-def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 6) -> DataFrame:
+def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3) -> DataFrame:
     """``id, n_shingles, component_id, group_key, text_key`` per input row (no group without shingles).
 
     Words are cut at ASCII white space after lower-casing A to Z. Documents link when 100 times the
@@ -241,7 +242,8 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
     texts = docs.select(text_bytes(text_col).alias("text"))
     both = store(_facts_and_counts(docs, id_col, text_col, width))
     facts = both.where("block is null").select("id", "k", "o", "n")
-    levels = spark.sparkContext.broadcast(_levels(both.where("block is not null").select("block", "counts")))
+    mean = (facts.agg(F.sum("n")).first()[0] or 0) / (1 << CELLS)
+    levels = spark.sparkContext.broadcast(_levels(both.where("block is not null").select("block", "counts"), mean))
     hashes = WordHashes()
 
     def entries(cols):
@@ -285,40 +287,45 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
     wanted = map_arrow(texts, sets_of, "short bigint, o binary, n bigint, tokens binary")
     sets = store(wanted.join(owners, "short", "left_semi").dropDuplicates(["o"]))
 
-    edges, tested, labels = [], [], None
-    for turn in range(star_rounds + 1):
+    # one row per owner: its entries are listed out only where they are looked at
+    lists = store(live.groupBy("o").agg(F.collect_list("e").alias("es"), F.max("least").alias("least")))
+    tested, edges, labels = None, None, None
+    turn, stars = 0, True
+    while True:
+        stars = stars and turn < star_rounds
+        owners = lists
         if labels is None:
-            now = live.withColumn("c", F.col("o"))
+            owners = owners.withColumn("c", F.col("o"))
         else:
-            comp = sets.join(labels, sets["o"] == labels["node"]).groupBy("short").agg(F.min(F.xxhash64("comp")).alias("c"))
-            now = live.join(comp.withColumnRenamed("short", "o"), "o", "left").select("e", "o", "least", F.coalesce("c", "o").alias("c"))
-        split = now.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo <> hi").select("e", "g")
-        now = store(now.join(split, "e"))
-        rows, pairs_left = now.agg(F.count(F.lit(1)), F.sum((F.col("g") - 1) / 2)).first()
-        if not rows:
-            break
-        last = turn == star_rounds or pairs_left <= 4 * rows
-        if last:  # what stars left apart: every pair that is not connected yet and shares as many entries as both ask
+            comp = sets.join(labels, sets["o"] == labels["node"]).groupBy("short").agg(F.min(F.xxhash64("comp")).alias("d"))
+            owners = owners.join(comp, owners["o"] == comp["short"], "left").select("o", "es", "least", F.coalesce("d", "o").alias("c"))
+        if stars:  # a star around one owner of each entry, over few entries of each owner
+            few = F.slice(F.sort_array(F.transform("es", lambda e: F.struct(F.xxhash64(e).alias("h"), e.alias("e")))), 1, LIGHT)
+            now = owners.select("o", "c", F.explode(few).alias("x")).select("o", "c", F.col("x.e").alias("e"))
+            drawn = F.xxhash64("o", F.lit(turn))
+            centre = now.groupBy("e").agg(F.min_by("o", drawn).alias("p"), F.min_by("c", drawn).alias("d"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+            near = now.join(centre.where("lo <> hi"), "e").where("o <> p and c <> d")
+            pairs = near.groupBy(F.least("o", "p").alias("x"), F.greatest("o", "p").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
+        else:  # what stars left apart: every pair that is not connected yet and shares as many entries as both ask
+            now = owners.select("o", "c", "least", F.explode("es").alias("e"))
+            split = now.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e")
+            now = store(now.join(split, "e"))
             other = now.select("e", F.col("o").alias("p"), F.col("c").alias("d"), F.col("least").alias("m"))
             met = now.join(other, "e").where("o < p and c <> d").groupBy(F.col("o").alias("x"), F.col("p").alias("y"))
             met = met.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("least", "m")).alias("m"))
             pairs = met.where("n >= m").select("x", "y")
-        else:
-            drawn = F.xxhash64("o", F.lit(turn))
-            centre = now.groupBy("e").agg(F.min_by("o", drawn).alias("p"), F.min_by("c", drawn).alias("d"))
-            pairs = now.join(centre, "e").where("o <> p and c <> d").select(F.least("o", "p").alias("x"), F.greatest("o", "p").alias("y"))
-            pairs = pairs.distinct()
-        for before in tested:
-            pairs = pairs.join(before, ["x", "y"], "left_anti")
+        if tested is not None:
+            pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = store(pairs)
-        tested.append(pairs)
-        edges.append(store(_verified(pairs, sets, percent)))
-        every = edges[0]
-        for more in edges[1:]:
-            every = every.unionByName(more)
-        labels = components(every)
-        if last:
+        some = not pairs.isEmpty()
+        if some:
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            found = store(_verified(pairs, sets, percent))
+            edges = found if edges is None else edges.unionByName(found)
+            labels = components(edges)
+        if not stars:
             break
+        turn, stars = turn + 1, some
 
     classes = facts.where("o is not null").groupBy("o").agg(F.min("id").alias("least"))
     if labels is not None:
