@@ -6,8 +6,9 @@ rare in the corpus are indexed alone. Tokens of the two frequent classes are ind
 k = 3 of them: a class's tokens are dealt by hash into groups, j tokens of a group survive with a common
 combination after max(0, j - k + 1) more misses, and the prefix is extended until all groups together survive
 d + 1, and some more: then partners share several entries, and a set that shares fewer with all others is done. The number of groups goes with the size of the sets (a set near the border of two size tiers is indexed in
-both), so the combinations of a set stay in proportion to its size. Sets of fewer than 1 / (1 - t) tokens link
-only if they are equal.
+both), so the combinations of a set stay in proportion to its size. Sets so small that even one more token would
+part them (n < t (n + 1)) link only if they are equal and have no entries; a set that may miss nothing but fits into
+a larger one, as 9 tokens into 10 at 0.9, has.
 
 Equal sets are one class from the start. Classes that share an index entry are compared as a star around one of
 them, which is drawn anew each round; classes that are already connected are not compared again. When little is
@@ -94,7 +95,7 @@ def index_entries(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.nd
     n = len(tokens)
     misses = n - -(-percent * n // 100)
     least = 1 + 3 * n // 100
-    if misses == 0:
+    if 100 * n < percent * (n + 1):  # the smallest larger partner is too large already
         return np.zeros(0, np.uint64)
     level = levels[cell_of(tokens)]
     order = np.lexsort((tokens, level))

@@ -110,6 +110,39 @@ def test_jaccard_groups_are_those_of_all_pairs(spark, width, percent):
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute_groups(texts, width, percent)
 
 
+@pytest.mark.parametrize("width,percent,sizes", [(3, 90, (9, 10)), (5, 80, (4, 5))])
+def test_jaccard_links_small_sets_inside_larger_ones(spark, width, percent, sizes):
+    rng = random.Random(percent)
+    vocabulary = [f"w{i}" for i in range(30)] + [f"x{i}" for i in range(5000)]  # frequent and rare words
+    texts = []
+    for i in range(20):
+        words = [rng.choice(vocabulary[:30] if i % 2 else vocabulary) for _ in range(sizes[1] + width - 1)]
+        cut = words[1:] if i % 3 == 0 else words[:-1]
+        texts += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(cut)), (10 * i + 2, " ".join(cut[1:]))]
+    got = jaccard.link(make(spark, texts), width=width, percent=percent)
+    rows = sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect())
+    assert rows == brute_groups(texts, width, percent)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90, 95])
+def test_sets_share_index_entries_with_their_subsets(percent):
+    rng = np.random.default_rng(percent)
+    met = 0
+    for n in range(2, 45):
+        for _ in range(12):
+            levels = rng.choice(np.array([0, 3, 8, 10, 14, 20], np.uint8), 1 << 12, p=rng.dirichlet(np.ones(6)))
+            levels = np.repeat(levels, 1 << (jaccard.CELLS - 12))
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            for out in range(1, n):
+                b = np.sort(rng.permutation(a)[out:])
+                if 100 * len(b) < percent * len(a):
+                    break
+                shared = np.intersect1d(jaccard.index_entries(a, levels, percent), jaccard.index_entries(b, levels, percent))
+                assert len(shared) >= max(jaccard.shared_least(len(x), percent) for x in (a, b)), (len(a), len(b))
+                met += 1
+    assert met > 100
+
+
 def test_jaccard_awkward_rows(spark, awkward, nothing):
     got = jaccard.link(awkward)
     assert got.count() == len(AWKWARD) and jaccard.link(nothing).count() == 0
