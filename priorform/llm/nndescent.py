@@ -2,10 +2,14 @@
 
 A first neighbour graph comes from sorted random-hyperplane codes: in each of several tables a vector meets the few
 next to it in code order. Rounds of neighbours-of-neighbours joins refine it: the vectors around each vector are
-compared with one another. The graph keeps pairs within twice the threshold's angle, since two vectors within the
-threshold of a common one are no farther apart; of a vector's pairs the closest ``neighbours`` take part in a round.
-Bounded audit queries are compared with all vectors; while too few of their links are known, tables and rounds are
-added. Pairs at or above the threshold are links.
+compared with one another. The graph keeps the closest ``neighbours`` of each vector, however far they are, and all
+pairs within twice the threshold's angle, since two vectors within the threshold of a common one are no farther apart;
+of a vector's pairs the closest ``neighbours`` take part in a round. Pairs at or above the threshold are links.
+
+Bounded audit queries are compared with all vectors, only to measure: recall is the mean over queries that have links,
+taken over all of them and over those outside large components. While one of the two is too low, tables and rounds
+are added. If the most tables do not reach it, or too few such queries were drawn to tell, all vectors are compared
+block by block, and one link per block and pair of components joins what the search left apart.
 
 Where lists are saturated they are enlarged to the vector's whole component: the members of a component are compared
 in blocks, which only yields counts. So the number of links has no cap and no group is listed pair by pair. Equal
@@ -26,6 +30,7 @@ from priorform.llm._common import map_arrow, store
 from priorform.llm.components import components
 
 BLOCK = 1024
+CLOSEST = 4  # pairs below the floor that a vector in a list brings into the graph in a round
 
 
 def unit(vector: list | None) -> np.ndarray | None:
@@ -136,7 +141,11 @@ def _around(graph: DataFrame, classes: DataFrame, neighbours: int, floor: float)
             return
         x = np.stack([np.frombuffer(r[1]) for r in rows])
         sims = x @ x.T
-        for i, j in zip(*np.nonzero(np.triu(sims >= floor, 1))):
+        near = sims >= floor
+        np.fill_diagonal(sims, -np.inf)
+        best = np.argsort(-sims, axis=1, kind="stable")[:, : min(CLOSEST, len(rows) - 1)]
+        near[np.arange(len(rows))[:, None], best] = True
+        for i, j in zip(*np.nonzero(np.triu(near | near.T, 1))):
             a, b = rows[i][0], rows[j][0]
             found.append((min(a, b), max(a, b), float(x[i] @ x[j])))
 
@@ -144,8 +153,17 @@ def _around(graph: DataFrame, classes: DataFrame, neighbours: int, floor: float)
     return pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
+def _kept(graph: DataFrame, neighbours: int, floor: float) -> DataFrame:
+    """The closest neighbours of each vector and all pairs at or above the floor."""
+    graph = graph.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
+    near = both.withColumn("r", rank).where((F.col("r") <= neighbours) | (F.col("sim") >= floor))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
+
+
 def _audited(classes: DataFrame, queries: int, threshold: float) -> DataFrame:
-    """All links of at most ``queries`` vectors, which are drawn by hash and compared with every vector."""
+    """All links ``a, b`` of at most ``queries`` vectors ``a``, which are drawn by hash and compared with every vector."""
     drawn = classes.select("key", "v").orderBy(F.xxhash64("key", F.lit(3))).limit(queries).collect()
     by_size: dict[int, tuple[list, np.ndarray]] = {}
     for n in {len(r["v"]) for r in drawn}:
@@ -164,11 +182,57 @@ def _audited(classes: DataFrame, queries: int, threshold: float) -> DataFrame:
                 for i, j in zip(*np.nonzero(sims >= threshold)):
                     a, b = keys[i], part[j][0]
                     if a != b:
-                        for name, value in zip(out, (min(a, b), max(a, b), float(sims[i, j]))):
+                        for name, value in zip(out, (a, b, float(sims[i, j]))):
                             out[name].append(value)
         return out
 
-    return map_arrow(classes.select("key", "v"), compare, PAIR).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return map_arrow(classes.select("key", "v"), compare, PAIR)
+
+
+def _recalls(truth: DataFrame, labels: DataFrame, small: int) -> tuple[float, float, int]:
+    """Mean share of its links that a query knows, over all queries with links and over those in components of at most
+    ``small`` classes, and the number of the latter. A link is known if both ends are in one component."""
+    sized = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
+    left = labels.join(sized, "comp").select(F.col("node").alias("a"), F.col("comp").alias("ca"), "m")
+    right = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    ends = truth.join(left, "a", "left").join(right, "b", "left")
+    known = F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double")
+    queries = ends.groupBy("a").agg(F.avg(known).alias("r"), F.coalesce(F.max("m"), F.lit(1)).alias("m"))
+    apart = F.col("m") <= small
+    every, few, n = queries.agg(F.avg("r"), F.avg(F.when(apart, F.col("r"))), F.count_if(apart)).first()
+    return 1.0 if every is None else every, 1.0 if few is None else few, n
+
+
+def _left_apart(classes: DataFrame, labels: DataFrame, n: int, threshold: float) -> DataFrame:
+    """All vectors block against block: a link for each two components that a block pair shows to be linked."""
+    blocks = -(-n // (4 * BLOCK))
+    placed = classes.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left")
+    mine = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(blocks)).cast("int")
+    dealt = (
+        placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .select(F.octet_length("v").alias("size"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", F.coalesce("comp", "key").alias("comp"), "v")
+    )
+    found, flush = _pairs_output()
+
+    def work(key, rows):
+        _, i, j = key
+        sides = [[r for r in rows if r[0] == side] for side in ((i,) if i == j else (i, j))]
+        if not all(sides):
+            return
+        left, right = sides[0], sides[-1]
+        number: dict[bytes, int] = {}
+        u, w = (np.array([number.setdefault(r[2], len(number)) for r in s]) for s in (left, right))
+        y = np.stack([np.frombuffer(r[3]) for r in right])
+        links = {}
+        for at in range(0, len(left), BLOCK):
+            sims = np.stack([np.frombuffer(r[3]) for r in left[at : at + BLOCK]]) @ y.T
+            for p, q in zip(*np.nonzero((sims >= threshold) & (u[at : at + BLOCK, None] != w[None, :]))):
+                a, b = left[at + p][1], right[q][1]
+                links.setdefault((min(u[at + p], w[q]), max(u[at + p], w[q])), (min(a, b), max(a, b), float(sims[p, q])))
+        found.extend(links.values())
+
+    groups = dealt.repartition("size", "i", "j").sortWithinPartitions("size", "i", "j")
+    return groups.mapInArrow(_by_group(3, work, flush), PAIR)
 
 
 def _counted(members: DataFrame, threshold: float) -> DataFrame:
@@ -211,14 +275,18 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(
     vectors: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 16,
     reach: int = 8, tables: int = 8, most_tables: int = 64, rounds: int = 3, audit: int = 1000, recall: float = 0.98, seed: int = 11,
+    least_audited: int = 50,
 ) -> tuple[DataFrame, dict]:
     """``id, n_links, component_id`` per input row, and what the search measured.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
     different lengths do not link. ``n_links`` counts the other rows found at a cosine of ``threshold`` or more,
     equal vectors included; ``component_id`` is the smallest id reachable. Repeated rows are rows of their own.
-    The measurements hold the tables used and the audited recall (share of the audit queries' links that the
-    graph knew before the audit told it). Other columns are not read.
+    The measurements hold the tables used, the audited recall of the search (mean over audit queries that have
+    links), ``recall_apart`` over the ``audited_apart`` of them outside components of more than ``neighbours``
+    classes, and whether all vectors were compared (``exact``): so if a recall stays below ``recall``, or fewer than
+    ``least_audited`` such queries were found among more than ``audit`` classes. After that, recalls are 1.
+    Other columns are not read.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
 
@@ -234,7 +302,7 @@ def near_duplicates(
     facts = store(map_arrow(source, keyed, f"id {kind}, key binary, v binary"))
     classes = store(facts.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("v").alias("v")))
     n = classes.count()
-    told = {"classes": n, "tables": 0, "recall": 1.0, "audited_links": 0}
+    told = {"classes": n, "tables": 0, "recall": 1.0, "recall_apart": 1.0, "audited_links": 0, "audited_apart": 0, "exact": False}
     if n < 2:
         graph = None
     else:
@@ -244,25 +312,26 @@ def near_duplicates(
         told["audited_links"] = truth.count()
         graph = None
         while True:
-            fresh = _table_pairs(classes, range(told["tables"], told["tables"] + tables), min(bits, 62), reach, floor, seed)
+            fresh = _table_pairs(classes, range(told["tables"], told["tables"] + tables), min(bits, 62), reach, -1.0, seed)
             told["tables"] += tables
-            graph = store(fresh if graph is None else graph.unionByName(fresh).groupBy("a", "b").agg(F.max("sim").alias("sim")))
-            known = graph.count()
+            graph = store(_kept(fresh if graph is None else graph.unionByName(fresh), neighbours, floor))
+            known = graph.agg(F.sum(1 + F.col("sim"))).first()[0] or 0.0
             for _ in range(rounds):
-                graph = store(graph.unionByName(_around(graph, classes, neighbours, floor)).groupBy("a", "b").agg(F.max("sim").alias("sim")))
-                before, known = known, graph.count()
+                graph = store(_kept(graph.unionByName(_around(graph, classes, neighbours, floor)), neighbours, floor))
+                before, known = known, graph.agg(F.sum(1 + F.col("sim"))).first()[0] or 0.0
                 if known - before <= 0.001 * known:
                     break
-            links = graph.where(F.col("sim") >= threshold)
+            links = graph.where(F.col("sim") >= threshold).select("a", "b")
             labels = components(links)
-            # a link of an audit query counts as known if both ends are in one component: lists are enlarged to it
-            ends = truth.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-            hit = ends.where("ca = cb").count()
-            told["recall"] = hit / told["audited_links"] if told["audited_links"] else 1.0
-            if told["recall"] >= recall or told["tables"] >= most_tables:
+            told["recall"], told["recall_apart"], told["audited_apart"] = _recalls(truth, labels, neighbours)
+            enough = n <= audit or told["audited_apart"] >= least_audited
+            reached = min(told["recall"], told["recall_apart"]) >= recall
+            if reached or not enough or told["tables"] >= most_tables:
                 break
-        graph = links.select("a", "b").unionByName(truth.select("a", "b")).distinct()
-        labels = components(graph)
+        if not (reached and enough):
+            told |= {"exact": True, "recall": 1.0, "recall_apart": 1.0}
+            links = links.unionByName(store(_left_apart(classes, labels, n, threshold)).select("a", "b"))
+            labels = components(links)
     if graph is None:
         named = classes.select("key", F.col("least").alias("component_id"), F.lit(0).cast("bigint").alias("links"), "rows")
     else:

@@ -439,3 +439,24 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     assert sum(a == b for a, b in zip(found, want)) >= 0.97 * len(want)
     assert sorted(tuple(r) for r in got.collect() if r["vec_id"] >= 2000) == [(i, 0, i) for i, _ in odd]
     assert nndescent.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>"))[0].count() == 0
+
+
+def test_isolated_pairs_beside_a_large_cluster_are_found(spark):
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=16)
+    x = [middle + rng.normal(size=16) * 0.02 for _ in range(150)]
+    for _ in range(60):
+        one = rng.normal(size=16) * np.linalg.norm(middle) / 4
+        x += [one, one + rng.normal(size=16) * np.linalg.norm(one) * 0.04]
+    rows = [(i, [float(f) for f in v]) for i, v in enumerate(x)]
+    # the audit queries see the cluster above all, and one short table finds few pairs
+    got, told = nndescent.near_duplicates(
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), tables=1, most_tables=1, reach=1, rounds=0, audit=20)
+    v = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+    link = v @ v.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert told["exact"] and link[150:].any(axis=1).mean() > 0.9
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()}
+    assert [found[i][0] for i in range(len(x))] == link.sum(axis=1).tolist()
+    reach = np.linalg.matrix_power((link | np.eye(len(v), dtype=bool)).astype(float), 30) > 0
+    assert [found[i][1] for i in range(len(x))] == reach.argmax(axis=1).tolist()
