@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorform.llm import bpe, jaccard, langid, licenses, mil, nndescent, pitman, shards, winnow, wordpiece
+from priorform.llm import bpe, jaccard, langid, licenses, mil, nndescent, pitman, shards, suffixes, winnow, wordpiece
 from priorform.llm._common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,13 @@ def op10_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+@query
+def op11_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that start earlier."""
+    cut = suffixes.remove_repeats(table(spark, folder, "documents"), length=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
 ORACLES["op7_decontamination"] = r"""
 with bench as (
   select cast(item_id as varchar) as item,
