@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorform.llm import bpe, jaccard, langid, licenses, mil, nndescent, pitman, shards, suffixes, winnow, wordpiece
+from priorform.llm import bpe, jaccard, langid, licenses, mil, nndescent, pitman, ptolemy, shards, strata, suffixes, winnow, wordpiece
 from priorform.llm._common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,19 @@ def op11_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
+@query
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Forty clusters of all embeddings of 64 components, five rounds."""
+    return ptolemy.cluster(table(spark, folder, "embeddings")).drop("measured")
+
+
+@query
+def op13_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty documents of highest score for each benchmark item, over an index of all documents."""
+    found = strata.search(strata.build(table(spark, folder, "documents")), table(spark, folder, "benchmark"), k=20)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 ORACLES["op7_decontamination"] = r"""
 with bench as (
   select cast(item_id as varchar) as item,
@@ -189,3 +202,72 @@ from found
 
 
 ORACLES["op3_licenses"] = _license_sql()
+
+
+def _repeats_sql(length: int) -> str:
+    """Every byte string of that length, its first place, and the bytes that later places cover."""
+    return f"""
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+places as (select doc_id, p, md5(substr(x, 2 * p + 1, {2 * length})) as s from docs, unnest(range(len(x) // 2 - {length - 1})) as r(p)),
+later as (select doc_id, p from places qualify (doc_id, p) <> first_value((doc_id, p)) over (partition by s order by doc_id, p)),
+edges as (select *, p > lag(p) over (partition by doc_id order by p) + {length} as far, lag(p) over (partition by doc_id order by p) is null as new from later),
+runs as (select doc_id, p, sum(cast(far or new as int)) over (partition by doc_id order by p) as run from edges),
+spans as (select doc_id, run, min(p) as s, max(p) + {length} as e from runs group by 1, 2),
+pieces as (select doc_id, e, s, lag(e, 1, 0) over (partition by doc_id order by s) as begins from spans),
+cut as (
+  select doc_id, sum(e - s) as n_removed, count(*) as n_spans, max(e) as last,
+         string_agg(substr(x, 2 * begins + 1, 2 * (s - begins)), '' order by s) as kept
+  from pieces join docs using (doc_id) group by 1)
+select docs.doc_id, cast(len(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from docs left join cut on docs.doc_id = cut.doc_id
+"""
+
+
+ORACLES["op11_repeated_bytes"] = _repeats_sql(100)
+
+
+def _clusters_sql(k: int, rounds: int, seed: int) -> str:
+    """Every distance to every centroid, round by round."""
+    near = "list_sum(list_transform(range(1, 65), lambda i: (q[i] - c[i]) * (q[i] - c[i])))::bigint"
+    parts = [f"""
+with kept as (
+  select vec_id, list_transform(embedding, lambda v: cast(floor(256 * cast(v as double)) as bigint)) as q
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+c0 as (select row_number() over (order by sha256('{seed}:' || vec_id)) - 1 as n, q as c from kept qualify n < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as (select vec_id, q, min(({near}, n)) as best from kept, c{i} group by 1, 2)")
+        if i < rounds:
+            parts.append(f"""
+u{i} as (select best[2] as n, i, sum(q[i]) as s, count(*) as m from a{i}, unnest(range(1, 65)) as r(i) group by 1, 2),
+m{i} as (select n, list(cast((s - ((s % m) + m) % m) // m as bigint) order by i) as v from u{i} group by 1),
+c{i + 1} as (select c{i}.n, coalesce(v, c) as c from c{i} left join m{i} on c{i}.n = m{i}.n)""")
+    return ",".join(parts) + f"""
+select vec_id, cast(best[2] as int) as cluster, best[1] as distance, cast(sum(best[1]) over (partition by best[2]) as bigint) as cluster_inertia,
+       cast(sum(best[1]) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on best[2] = n
+"""
+
+
+ORACLES["op12_clusters"] = _clusters_sql(40, 5, 2)
+
+ORACLES["op13_search"] = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+sizes as (select doc_id, cast(len(w) as bigint) as n from words where len(w) > 0),
+whole as (select count(*) as docs, cast(sum(n) as bigint) as terms from sizes),
+asked as (
+  select item_id, term, count(*) as times from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark) group by 1, 2),
+postings as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from words) group by 1, 2),
+weights as (
+  select term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double)) as bigint) as weight
+  from (select term, count(*) as df from postings group by 1), whole),
+scores as (
+  select item_id, doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) as bigint) as score
+  from asked join postings using (term) join weights using (term) join sizes using (doc_id), whole group by 1, 2)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+from scores where score > 0 qualify rank <= 20
+"""
