@@ -52,17 +52,20 @@ def text_bytes(text_col: str = "text") -> Column:
 
 
 def map_arrow(
-    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list | np.ndarray | pa.Array] | None], schema: str, keep: Sequence[str] = ()
+    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list | np.ndarray | pa.Array] | None], schema: str, keep: Sequence[str] = (), rows: int | None = None
 ) -> DataFrame:
-    """``mapInArrow`` with columns as Python lists in, columns out; ``keep`` columns stay Arrow arrays."""
+    """``mapInArrow`` with columns as Python lists in, columns out; ``keep`` columns stay Arrow arrays.
+
+    ``rows`` bounds how many rows ``fn`` gets at once, and so the memory of what it makes of them.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in (whole.slice(i, rows or whole.num_rows) for i in range(0, whole.num_rows, rows or whole.num_rows or 1)):
                 out = fn({n: batch.column(i) if n in keep else batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 if out is not None:
                     yield pa.RecordBatch.from_arrays(

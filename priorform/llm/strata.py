@@ -24,6 +24,7 @@ from priorform.llm._common import WORD_BYTES, WordHashes, map_arrow, store, text
 
 SCALE = 1_000_000_000
 BLOCK = 2048  # documents of a block at most
+PART = 1 << 14  # documents of a part of a stratum, about
 POSTINGS = 1 << 19  # and about so many postings
 ITEMS, TERMS = 256, 1 << 14  # of the items that are asked together; larger query sets go over the index in turns
 EXACT = 1 << 53  # up to here sums of whole numbers in doubles are exact
@@ -66,19 +67,21 @@ def _forward(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         }
 
     read = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    return map_arrow(read, of, f"id {docs.schema[id_col].dataType.simpleString()}, n bigint, term array<bigint>, tf array<int>", keep=["id"])
+    return map_arrow(read, of, f"id {docs.schema[id_col].dataType.simpleString()}, n bigint, term array<bigint>, tf array<int>", keep=["id"], rows=1024)
 
 
 def build(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = 25) -> Index:
     """The index of all documents, all terms; null texts and texts without a term are no documents of it.
 
     ``m = 100 - share + (share * n * N) div L`` with a document's number of terms ``n``, that of all terms ``L``, and the
-    number of documents ``N``. Documents are dealt by ranges of (m, id): a stratum of any size is spread over tasks.
+    number of documents ``N``. Documents are dealt by ``m`` and a part of it, and there are as many parts as keep any stratum
+    at about ``PART`` documents a part: strata of any size are spread over tasks, and so are long documents.
     """
     forward = store(_forward(docs, id_col, text_col))
     n_docs, n_terms = forward.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     m = F.expr(f"cast({100 - share} + ({share} * n * {n_docs}) div {max(n_terms, 1)} as bigint)")
-    dealt = forward.select(m.alias("m"), "id", "term", "tf").repartitionByRange("m", "id").sortWithinPartitions("m", "id")
+    part = F.pmod(F.xxhash64("id", F.col("term")[0]), F.lit(n_docs // PART + 1))
+    dealt = forward.select(m.alias("m"), "id", "term", "tf").repartition("m", part).sortWithinPartitions("m", "id")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def block(m, parts):

@@ -3,10 +3,11 @@
 A suffix is sampled where its ``GRAM``-byte hash is the smallest of some window of ``length`` bytes, so every string of
 ``length`` bytes holds a sampled place, and equal strings hold one at the same offset. The initial buckets are these
 grams. A first sort by (gram, hash of the whole surroundings, place) settles what agrees with an earlier place in all
-strings around it, and drops buckets of one. What is left is refined: within a bucket, every suffix is compared with the
-first one, byte by byte to both sides; strings that agree are settled, and those that do not go to new buckets that are
-longer by the bytes up to the difference, on the left or on the right. Buckets of one end. A bucket's bounds follow from
-the bucket before and the place of the difference alone, so that equal strings always meet in one bucket.
+strings around it, and drops buckets of one. A bucket of at most ``BUCKET`` suffixes is then sorted to the end within a
+task, by the hash of each of its strings. A larger one is refined first, over the cluster: every suffix is compared with
+the bucket's first one, byte by byte to both sides; strings that agree are settled, and those that do not go to new
+buckets that are longer by the bytes up to the difference, on the left or on the right. A bucket's bounds follow from the
+bucket before and the place of the difference alone, so that equal strings always meet in one bucket.
 
 "Earlier" means a smaller id, or the same id and a smaller start; null ids come first. Rows that share an id and a text
 get the same result; with different texts under one id, places compare by start alone. Null and empty texts, and texts
@@ -27,6 +28,8 @@ from priorform.llm._common import map_arrow, mixed, store, text_bytes
 
 GRAM = 32  # bytes of an initial bucket; a power of two
 PIECE = 1 << 20  # bytes of a text hashed at once
+BUCKET = 8192  # suffixes of a bucket that a task sorts
+TEXTS = 256  # taken at once
 CRC = 0xFFFFFFFF  # the low half of a place
 PLAIN_ROUNDS = 6  # after these, buckets' bounds are halved too, so that at most eight rounds follow
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -112,7 +115,17 @@ def _places(docs: DataFrame, id_type: str, length: int) -> DataFrame:
             return None
         return {k: np.concatenate(v) for k, v in out.items()} | {"id": cols["id"].take(pa.array(np.concatenate(owner)))}
 
-    return map_arrow(docs, of, f"gram bigint, around bigint, id {id_type}, place bigint, end int", keep=["id"])
+    return map_arrow(docs, of, f"gram bigint, around bigint, id {id_type}, place bigint, end int", keep=["id"], rows=TEXTS)
+
+
+def repeats_before(ids: pa.Array) -> np.ndarray:
+    """Whether each id but the first equals the one before it; nulls are equal."""
+    no_id = pc.is_null(ids).to_numpy(zero_copy_only=False)
+    return pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (no_id[1:] & no_id[:-1])
+
+
+def rows_of(ids: pa.Array, place: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(place, pa.int64()), pa.array(end, pa.int32())], names=["id", "place", "end"])
 
 
 def _first_sort(places: DataFrame, id_type: str, length: int) -> DataFrame:
@@ -122,10 +135,6 @@ def _first_sort(places: DataFrame, id_type: str, length: int) -> DataFrame:
     that a boundary cuts is not dropped, and a suffix right after a boundary is not settled; refinement decides both.
     """
     side = length - GRAM
-
-    def rows_of(ids, place, end):
-        return pa.RecordBatch.from_arrays([ids, pa.array(place, pa.int64()), pa.array(end, pa.int32())], names=["id", "place", "end"])
-
     def run(batches):
         before = None  # last row of the batch before: gram, around, id, place, whether it is a span
         pending = None  # last suffix left so far, its bucket, and whether it has met another one
@@ -137,9 +146,7 @@ def _first_sort(places: DataFrame, id_type: str, length: int) -> DataFrame:
             ids = batch.column(batch.schema.get_field_index("id"))
             span = end >= 0
             last = before or (None, None, None, -1, True)
-            no_id = pc.is_null(ids).to_numpy(zero_copy_only=False)
-            same_id = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (no_id[1:] & no_id[:-1])
-            same_id = np.concatenate([[last[2] == ids[0].as_py()], same_id])
+            same_id = np.concatenate([[last[2] == ids[0].as_py()], repeats_before(ids)])
             same = np.concatenate([[not last[4] and last[0] == gram[0] and last[1] == around[0]], (gram[1:] == gram[:-1]) & (around[1:] == around[:-1]) & ~span[:-1]]) & ~span
             place_before = np.concatenate([[last[3]], place[:-1]])
             copy = same & same_id & (place == place_before)
@@ -175,8 +182,67 @@ def bucket_of(around: bytes, side: int, low: int, high: int) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
+def strings_of(around: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the string with 0, 1, ... bytes left of the gram, for every row of surroundings."""
+    half = 1 << (length.bit_length() - 1)  # two such halves cover a string
+    h, k = around.astype(np.uint64) + np.uint64(1), 1
+    while k < half:
+        h, k = mixed(h[:, :-k] * np.uint64(MULTIPLIER) + h[:, k:]), 2 * k
+    each = np.arange(length - GRAM, -1, -1)
+    return mixed(h[:, each] * np.uint64(MULTIPLIER) + h[:, each + length - half])
+
+
+def _sort_buckets(rows: DataFrame, id_type: str, length: int) -> DataFrame:
+    """Spans ``id, place, end`` of what stands earlier, for rows whose buckets fit into a task."""
+    side = length - GRAM
+    key = ["a", "b", "id", "place"]
+
+    def settle(table: pa.Table) -> pa.RecordBatch | None:
+        a, b = (table.column(c).to_numpy() for c in ("a", "b"))
+        opens = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        met = ~opens | ~np.append(opens[1:], True)  # not alone in its bucket
+        if not met.any():
+            return None
+        table, opens = table.filter(pa.array(met)).combine_chunks(), opens[met]
+        low, high, left, right, place = (table.column(c).to_numpy() for c in ("low", "high", "left", "right", "place"))
+        ids = table.column("id").combine_chunks()
+        at = place >> 32
+        rank = np.cumsum(np.concatenate([[True], ~(repeats_before(ids) & (at[1:] == at[:-1]))]) | opens)  # of the place
+        around = np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint8).reshape(len(at), 2 * side + GRAM)
+        strings = mixed(strings_of(around, length) + np.cumsum(opens).astype(np.uint64)[:, None] * np.uint64(MULTIPLIER))
+        found = np.zeros((len(at), side + 3), bool)  # a column of False on either side
+        for n in range(side + 1):
+            has = np.flatnonzero((low <= n) & (n <= high) & (n <= left) & (side - n <= right))
+            _, first, which = np.unique(strings[has, n], return_index=True, return_inverse=True)
+            found[has, n + 1] = rank[has] > rank[has[first[which]]]
+        row, low = np.nonzero(found[:, 1:-1] & ~found[:, :-2])
+        _, high = np.nonzero(found[:, 1:-1] & ~found[:, 2:])
+        return rows_of(ids.take(pa.array(row)), ((at[row] - high) << 32) + (place[row] & CRC), at[row] - low + length)
+
+    def run(batches):
+        held = []  # the last bucket may go on
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("a", "b"))
+                ended = np.flatnonzero((a != a[-1]) | (b != b[-1]))
+                cut = int(ended[-1]) + 1 if len(ended) else 0
+                if held and (cut or (held[0].column(0)[0] != batch.column(0)[0] or held[0].column(1)[0] != batch.column(1)[0])):
+                    out = settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held = []
+                else:
+                    out = settle(pa.Table.from_batches([batch.slice(0, cut)])) if cut else None
+                held.append(batch.slice(cut))
+                if out is not None:
+                    yield out
+        if held and (out := settle(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    columns = [*key, "low", "high", "left", "right", "around"]
+    return rows.select(columns).repartition("a", "b").sortWithinPartitions(*key).mapInArrow(run, f"id {id_type}, place bigint, end int")
+
+
 def _refine(rows: DataFrame, id_type: str, length: int, halve: bool) -> DataFrame:
-    """One round over ``a, b`` (bucket), ``id, place, low, high, left, right, around``: the same with spans in ``end``."""
+    """One round over large buckets: ``a, b`` (bucket), ``id, place, low, high, left, right, around``, and spans in ``end``."""
     side = length - GRAM
     at = F.shiftright("place", 32)
     first = rows.groupBy("a", "b").agg(F.min(F.struct("id", "place", "left", "right", "around")).alias("f"), F.count("*").alias("n")).where("n > 1")
@@ -212,7 +278,7 @@ def _refine(rows: DataFrame, id_type: str, length: int, halve: bool) -> DataFram
                         out[c].append(v)
         return out
 
-    return map_arrow(met, of, ROWS.format(id=id_type))
+    return map_arrow(met, of, ROWS.format(id=id_type), rows=16 * TEXTS)
 
 
 ROWS = "a bigint, b bigint, id {id}, place bigint, low int, high int, left int, right int, around binary, end int"
@@ -251,10 +317,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     same = [F.col("d.id").eqNullSafe(F.col("x.id")), F.col("d.crc") == F.col("x.crc")]
     asked = read.alias("d").join(_lists(found.where("end < 0")).alias("x"), same).select("d.id", "d.crc", "d.text", "x.x")
-    rows = store(map_arrow(asked, contexts, ROWS.format(id=id_type)))
+    rows = store(map_arrow(asked, contexts, ROWS.format(id=id_type), rows=TEXTS))
     spans, turn = found.where("end >= 0"), 0
-    while not rows.isEmpty():
-        out = store(_refine(rows, id_type, length, turn >= PLAIN_ROUNDS))
+    while True:
+        large = store(rows.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("a", "b"))
+        some = not large.isEmpty()
+        small = rows.join(large, ["a", "b"], "left_anti") if some else rows
+        spans = spans.unionByName(store(_sort_buckets(small, id_type, length)))
+        if not some:
+            break
+        out = store(_refine(rows.join(large, ["a", "b"], "left_semi"), id_type, length, turn >= PLAIN_ROUNDS))
         spans = spans.unionByName(out.where("end >= 0").select("id", "place", "end"))
         rows, turn = out.where("end < 0"), turn + 1
 
@@ -274,4 +346,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     schema = f"id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     both = read.alias("d").join(_lists(spans).alias("x"), same, "left").select("d.id", "d.text", "x.x")
-    return map_arrow(both, cut, schema).withColumnRenamed("id", id_col)
+    return map_arrow(both, cut, schema, rows=TEXTS).withColumnRenamed("id", id_col)

@@ -61,8 +61,10 @@ def test_repeats_of_awkward_rows(spark):
     assert repeats(make(spark, [(1, None), (2, "short")])) == brute_repeats([(1, None), (2, "short")], 100)
 
 
+@pytest.mark.parametrize("bucket", [8192, 5])
 @pytest.mark.parametrize("length,signs,seed", [(100, "ab", 1), (100, "abcdefgh ", 2), (40, "ab", 3), (64, "aaaaaaab", 4), (159, "abcd", 5)])
-def test_repeats_of_copies_with_changes(spark, length, signs, seed):
+def test_repeats_of_copies_with_changes(spark, monkeypatch, length, signs, seed, bucket):
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)  # larger buckets are refined over the cluster first
     rng = random.Random(seed)
     word = lambda n: "".join(rng.choice(signs) for _ in range(n))
     families = [word(rng.choice([150, 400, 900])) for _ in range(4)] + [word(7) * 40, "z" * 300]
@@ -82,6 +84,7 @@ def test_repeats_of_copies_with_changes(spark, length, signs, seed):
 
 def test_halving_settles_the_same(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PLAIN_ROUNDS", 0)
+    monkeypatch.setattr(suffixes, "BUCKET", 3)
     rng = random.Random(9)
     base = "".join(rng.choice("abcd") for _ in range(500))
     texts = [(i, base[: (at := rng.randrange(500))] + "X" * rng.randrange(3) + base[at:]) for i in range(40)]
