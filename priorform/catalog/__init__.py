@@ -7,6 +7,7 @@ from priorform.catalog import (  # noqa: F401  (imported to register)
     assembly,
     cleaning,
     models,
+    outcomes,
     statistics,
     storage,
     summaries,

@@ -222,6 +222,43 @@ def logit_z(t: Tables) -> DataFrame:
     return association.logit_slope(rows, "open", "l_discount")
 
 
+NEWTON_STEPS = 12  # of the SQL twins; slopes settle after about six
+
+
+def newton_sql(rows: str) -> str:
+    """Slopes, errors and z of ``rows`` (name, x, y) by Newton steps for all names together, as (name, n, b, se)."""
+    share = "(1 / (1 + exp(-b * x)))"
+    ctes = ["n0 as materialized (select distinct name, 0.0::double as b from pairs)"]
+    for i in range(NEWTON_STEPS):
+        ctes.append(f"n{i + 1} as materialized (select name, any_value(b) + sum(x * (y - {share})) / sum(x * x * {share} * (1 - {share})) as b from pairs join n{i} using (name) group by name)")
+    return (
+        f"pairs as materialized ({rows}),\n" + ",\n".join(ctes)
+        + f",\nslopes as (select name, count(*) as n, any_value(b) as b, 1 / sqrt(sum(x * x * {share} * (1 - {share}))) as se from pairs join n{NEWTON_STEPS} using (name) group by name)"
+    )
+
+
+def slopes_table(df: DataFrame) -> DataFrame:
+    """What two engines agree on: slopes in standard errors, and errors in thousandths of a slope's unit."""
+    return rounded(rounded(df, "z"), "b", "se", scale=1e3).select("name", "n", "b", "se", "z")
+
+
+SLOPES_SQL = "select name, n, round(b * 1e3, 6) + 0.0 as b, round(se * 1e3, 6) + 0.0 as se, round(b / se, 6) + 0.0 as z from slopes"
+
+
+@query(
+    "logit_z_all",
+    "with " + newton_sql(" union all ".join(
+        f"select '{c}' as name, cast({c} as double) as x, case when l_linestatus = 'O' then 1.0::double else 0.0::double end as y from lineitem"
+        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+    )) + SLOPES_SQL.join(["\n", ""]),
+)
+def logit_z_all(t: Tables) -> DataFrame:
+    """Logistic slopes of a flag on every number of a line, by Newton steps for all of them together."""
+    rows = t.lineitem.withColumn("open", F.when(F.col("l_linestatus") == "O", 1).otherwise(0))
+    names = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+    return slopes_table(association.logit_slopes(rows, [(c, "open", c) for c in names]))
+
+
 _MATRIX = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 

@@ -7,16 +7,16 @@ rest runs on cell-sized frames. An undefined statistic is NULL.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from priorform.functions.pvalues import student_p
+from priorform.functions.pvalues import normal_two_sided, student_p
 from priorform.operators.cleaning import plain_double
 from priorform.operators.literals import literal_rows
 
@@ -157,7 +157,11 @@ def correlation_ratios(
             for i, c in enumerate(conts)
         ]
     )
-    flat = groups.select("cat", "level", F.inline(per_cont))
+    return ratios_from_groups(groups.select("cat", "level", F.inline(per_cont)), nulls=nulls)
+
+
+def ratios_from_groups(flat: DataFrame, *, nulls: str = "drop") -> DataFrame:
+    """(cat, cont, corr) from (cat, level, cont, n, s, q, x): values, their sum, sum of squares, missing values."""
     known = F.col("level").isNotNull()
     if nulls == "drop":
         flat = flat.where(known)
@@ -229,7 +233,11 @@ def pearson_pairs(
                 F.col(f"p{lo}_{hi}").alias("pxy"),
             )
         )
-    flat = sums.select("n", F.inline(F.array(*per_pair)))
+    return pearson_from_sums(sums.select("n", F.inline(F.array(*per_pair))))
+
+
+def pearson_from_sums(flat: DataFrame) -> DataFrame:
+    """(x, y, n, corr, slope, t) from (x, y, n, sx, sy, qx, qy, pxy), sums of values, squares and products."""
     n = F.nullif(F.col("n"), F.lit(0.0))
     cxx = F.col("qx") - F.col("sx") * F.col("sx") / n
     cyy = F.col("qy") - F.col("sy") * F.col("sy") / n
@@ -253,25 +261,111 @@ def pearson_ols(
     return pearson_pairs(df, [(x, y)], complete=complete)
 
 
+def slope_tests(df: DataFrame, predictors: Sequence[str], response: str) -> DataFrame:
+    """(predictor, n, corr, slope, t) of the response on each predictor with a constant, over complete pairs, in one aggregate."""
+    y = plain_double(df, response)
+    one = lambda x: F.struct(
+        F.regr_count(y, x).cast("double").alias("n"), F.regr_sxx(y, x).alias("qx"), F.regr_syy(y, x).alias("qy"), F.regr_sxy(y, x).alias("pxy")
+    )
+    sums = df.agg(*[one(plain_double(df, c)).alias(f"r{i}") for i, c in enumerate(predictors)])
+    flat = sums.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("x"), F.lit(response).alias("y"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"), *[F.col(f"r{i}.{k}").alias(k) for k in ("n", "qx", "qy", "pxy")])
+        for i, c in enumerate(predictors)
+    ])))
+    return pearson_from_sums(flat).select(F.col("x").alias("predictor"), "n", "corr", "slope", "t")
+
+
 def with_p_values(pairs: DataFrame, name: str = "p") -> DataFrame:
     """Add the two-sided p-value of ``t`` with ``n - 2`` degrees of freedom."""
     return pairs.withColumn(name, student_p(F.col("t"), F.col("n") - 2))
 
 
+MAX_STEPS = 60
+SETTLED = 1e-10  # of a step, in standard errors
+
+
+def logit_slopes(df: DataFrame, tests: Sequence[tuple[str, str | Column, str | Column]]) -> DataFrame:
+    """(name, b, se, z, p, n) of logistic regressions of 0/1 outcomes on one regressor each, no intercept, all together.
+
+    ``tests`` are (name, outcome, regressor); each uses its complete pairs. One aggregate finds what can be fitted, then
+    every Newton step is one aggregate of the scores and informations of all tests that have not settled; a step that
+    lowers the likelihood is halved. A slope is NULL where none exists: no pair with a regressor other than 0, or
+    regressors whose signs separate the outcomes. Another outcome than 0 or 1 is refused.
+    """
+    spark, names = df.sparkSession, [name for name, _, _ in tests]
+    column = lambda c: plain_double(df, c) if isinstance(c, str) else c
+    rows = df.select(
+        F.array(*[column(y) for _, y, _ in tests]).alias("ys"), F.array(*[column(x) for _, _, x in tests]).alias("xs")
+    )
+
+    def pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Outcomes and regressors, a column per test; an incomplete pair has a regressor of NaN."""
+        ys, xs = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(tests)) for i in (0, 1))
+        return ys, np.where(np.isnan(ys), np.nan, xs)
+
+    def summed(one, width: int) -> np.ndarray:
+        """Sums over all rows of ``one(ys, xs)``, ``width`` figures per test."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((width, len(tests)))
+            for batch in batches:
+                if batch.num_rows:
+                    total += one(*pairs(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(range(width * len(tests)), pa.int32()), pa.array(total.ravel())], names=["at", "v"])
+
+        out = np.zeros(width * len(tests))
+        for r in rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+            out[r["at"]] = r["v"]
+        return out.reshape(width, len(tests))
+
+    def facts(ys, xs):
+        toward = xs * (2 * ys - 1)  # comparisons with NaN are false
+        other = ~np.isnan(xs) & (ys != 0) & (ys != 1)
+        return np.stack([(~np.isnan(xs)).sum(0), (toward > 0).sum(0), (toward < 0).sum(0), other.sum(0)]).astype(np.float64)
+
+    n, agree, differ, other = summed(facts, 4)
+    if other.any():
+        raise ValueError(f"an outcome of {[name for name, o in zip(names, other) if o]} is neither 0 nor 1")
+    active = (agree > 0) & (differ > 0)
+    slope, before, error = np.zeros(len(tests)), np.zeros(len(tests)), np.full(len(tests), np.nan)
+    best, settled = np.full(len(tests), -np.inf), ~active
+    for _ in range(MAX_STEPS):
+        if settled.all():
+            break
+        asked, at = np.flatnonzero(~settled), slope.copy()
+
+        def step(ys, xs):
+            out = np.zeros((3, len(tests)))
+            y, x = ys[:, asked], xs[:, asked]
+            has = ~np.isnan(x)
+            x, y = np.where(has, x, 0.0), np.where(has, y, 0.0)
+            eta = np.clip(x * at[asked], -700, 700)
+            share = 1 / (1 + np.exp(-eta))
+            likely = np.where(has, y * eta - np.logaddexp(0, eta), 0.0)
+            out[:, asked] = likely.sum(0), (x * (y - share)).sum(0), (x * x * share * (1 - share)).sum(0)
+            return out
+
+        likely, score, information = summed(step, 3)
+        for i in asked:
+            if likely[i] < best[i] - 1e-12 * abs(best[i]):
+                slope[i] = (slope[i] + before[i]) / 2
+                continue
+            move = score[i] / information[i] if information[i] > 0 else 0.0
+            best[i], before[i], error[i] = likely[i], slope[i], 1 / math.sqrt(information[i]) if information[i] > 0 else np.nan
+            slope[i] += move
+            settled[i] = abs(move) <= SETTLED * error[i] or not information[i] > 0
+    fields = [("name", "string"), ("b", "double"), ("se", "double"), ("z", "double"), ("p", "double"), ("n", "bigint")]
+    found = []
+    for i, name in enumerate(names):
+        ok = bool(active[i] and settled[i] and math.isfinite(error[i]))
+        z = slope[i] / error[i] if ok else None
+        found.append((name, float(slope[i]) if ok else None, float(error[i]) if ok else None, z and float(z), normal_two_sided(z), int(n[i])))
+    return literal_rows(spark, fields, found)
+
+
 def logit_slope(df: DataFrame, outcome: str | Column, regressor: str | Column) -> DataFrame:
     """One row (b, z, p, n): logistic regression of a 0/1 outcome on one regressor, no intercept."""
-    y = plain_double(df, outcome) if isinstance(outcome, str) else outcome
-    x = plain_double(df, regressor) if isinstance(regressor, str) else regressor
-    rows = df.select(y.alias("label"), x.alias("x")).na.drop()
-    design = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", fitIntercept=False, maxIter=35, tol=1e-8
-    ).fit(design)
-    s = model.summary
-    row = (float(model.coefficients[0]), round(s.tValues[0], 6), float(s.pValues[0]), int(s.numInstances))
-    return literal_rows(
-        df.sparkSession, [("b", "double"), ("z", "double"), ("p", "double"), ("n", "bigint")], [row]
-    )
+    return logit_slopes(df, [("slope", outcome, regressor)]).select("b", F.round("z", 6).alias("z"), "p", "n")
 
 
 def matrix_form(pairs: DataFrame, a: str, b: str, value: str, names: Sequence[str] = ()) -> DataFrame:
