@@ -12,9 +12,14 @@ from priorform.functions.dates import season
 from priorform.operators.ordering import row_index
 
 
+MAX_LEVELS = 10_000  # of a category that becomes columns or classes
+
+
 def levels(df: DataFrame, column: str) -> list:
-    """Sorted distinct non-NULL values, for outputs that have one column per level."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
+    """Sorted distinct non-NULL values, for outputs that have one column per level; refused beyond ``MAX_LEVELS``."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{column} has more than {MAX_LEVELS} levels; use label codes or the vector form")
     return sorted(r[0] for r in found)
 
 
@@ -40,15 +45,16 @@ def one_hot_vector(df: DataFrame, column: str, name: str | None = None) -> DataF
 
     Codes are joined, so the number of levels has no bound but the vector's length.
     """
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.feature import OneHotEncoder
 
     codes = label_codes(df, column)
-    size = codes.count() - 1
-    vector = F.udf(lambda c: SparseVector(max(size, 0), [c - 1], [1.0]) if c else SparseVector(max(size, 0), [], []), VectorUDT())
-    name = name or f"{column}_vector"
-    none = df.sparkSession.createDataFrame([(None, 0)], codes.schema)
-    coded = codes.unionByName(none).select(F.col("level").alias("__level"), vector("code").alias(name))
-    return df.join(coded, F.col(column).eqNullSafe(F.col("__level")), "left").select(*df.columns, name)
+    size, name = codes.count(), name or f"{column}_vector"
+    # The place before the last one is for level 0 and NULL, which the encoder drops as the last category.
+    place = F.when(F.col("code") > 0, F.col("code") - 1).otherwise(F.lit(max(size - 1, 0))).cast("double")
+    coded = codes.select(F.col("level").alias("__level"), place.alias("__place"))
+    joined = df.join(coded, F.col(column).eqNullSafe(F.col("__level")), "left").fillna({"__place": float(max(size - 1, 0))})
+    largest = df.sparkSession.range(1).select(F.lit(float(max(size - 1, 0))).alias("__place"))
+    return OneHotEncoder(inputCols=["__place"], outputCols=[name]).fit(largest).transform(joined).select(*df.columns, name)
 
 
 def label_codes(df: DataFrame, column: str, *, order_by: str | None = None) -> DataFrame:

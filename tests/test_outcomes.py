@@ -94,3 +94,66 @@ def test_slope_tests_use_pairs_of_their_own(spark):
     for c in ("v0", "v1"):
         want = association.pearson_ols(df, c, "v2", complete=[c, "v2"]).first()
         assert got[c]["n"] == want["n"] and got[c]["t"] == pytest.approx(want["t"]) and got[c]["slope"] == pytest.approx(want["slope"])
+
+
+# --- stochastic gradient descent ----------------------------------------------------------------
+
+
+def points(spark, classes, n=3000, seed=5):
+    rng = np.random.default_rng(seed)
+    at = rng.integers(0, classes, n)
+    x = rng.normal(size=(n, 3)) + np.stack([at == 0, at == 1, at == classes - 1], 1) * 1.5
+    return spark.createDataFrame([(i, *map(float, x[i]), f"k{at[i]}") for i in range(n)], "id bigint, a double, b double, c double, y string")
+
+
+def objective(x, y, w, penalty=1e-4):
+    score = x @ w.T
+    return float((np.logaddexp(0, score) - y * score).sum() / len(x) + penalty / 2 * (w[:, :-1] ** 2).sum())
+
+
+def optimum(x, y, penalty=1e-4):
+    """Newton to the end, one against the rest."""
+    w = np.zeros((y.shape[1], x.shape[1]))
+    keep = np.full(x.shape[1], penalty)
+    keep[-1] = 0
+    for k in range(y.shape[1]):
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-(x @ w[k])))
+            w[k] -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(keep), (p - y[:, k]) @ x / len(x) + keep * w[k])
+    return w
+
+
+@pytest.mark.parametrize("classes", [2, 4])
+def test_descent_reaches_the_optimum(spark, monkeypatch, classes):
+    from priorform.operators import sgd
+
+    monkeypatch.setattr(sgd, "BLOCK", 700)
+    df = points(spark, classes)
+    model = sgd.fit(df, ["a", "b", "c"], "y")
+    rows = df.collect()
+    x = np.array([[r["a"], r["b"], r["c"], 1.0] for r in rows])
+    y = np.array([[float(r["y"] == c) for c in (model.classes if classes > 2 else model.classes[1:])] for r in rows])
+    least = objective(x, y, optimum(x, y))
+    assert objective(x, y, model.weights) < 1.01 * least
+    assert len(model.losses) < 100 and min(model.losses) < model.losses[0]
+    again = sgd.fit(df.repartition(7).orderBy(F.rand(3)), ["a", "b", "c"], "y")
+    assert again.weights == pytest.approx(model.weights, rel=1e-6)
+    got = {r["id"]: r for r in model.apply(df).collect()}
+    shares = 1 / (1 + np.exp(-(x @ model.weights.T)))
+    shares = shares / shares.sum(1, keepdims=True) if classes > 2 else np.concatenate([1 - shares, shares], 1)
+    for i, r in enumerate(rows):
+        assert got[r["id"]]["prediction"] == model.classes[int(shares[i].argmax())]
+        assert got[r["id"]]["probability"] == pytest.approx(shares[i].max())
+
+
+def test_descent_with_few_classes_and_missing_values(spark):
+    from priorform.operators import sgd
+
+    df = spark.createDataFrame([(1, 1.0, "p"), (2, None, "p"), (3, 2.0, None), (4, 2.0, "p")], "id int, a double, y string")
+    one = sgd.fit(df, ["a"], "y")
+    assert one.classes == ["p"] and {r["prediction"] for r in one.apply(df.where("a is not null")).collect()} == {"p"}
+    none = sgd.fit(df.where("1 = 0"), ["a"], "y")
+    assert none.classes == []
+    two = df.unionByName(spark.createDataFrame([(5, -3.0, "q"), (6, -2.0, "q")], df.schema))
+    got = {r["id"]: r["prediction"] for r in sgd.fit(two, ["a"], "y").apply(two).collect()}
+    assert got[1] == "p" and got[5] == "q" and got[2] is None
