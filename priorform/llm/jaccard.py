@@ -11,9 +11,11 @@ part them (n < t (n + 1)) link only if they are equal and have no entries; a set
 a larger one, as 9 tokens into 10 at 0.9, has.
 
 Equal sets are one class from the start. Classes that share an index entry are compared as a star around one of
-them, which is drawn anew each round; classes that are already connected are not compared again. When little is
-left, every remaining pair of unconnected classes that share an entry is verified. So no entry is expanded into
-all its pairs as long as stars connect it, and no link between different components is lost.
+them, which is drawn anew each round; classes that are already connected are not compared again. What stars leave
+apart is compared pair by pair within the join over entries, by size and by a sketch: a bit per token, taken to the
+parity of how many tokens fall on it. Two sketches differ in at most as many bits as the sets differ in tokens, so a
+pair whose sketches differ in more bits than a link allows is no link, and only what passes leaves the join. No link
+between different components is lost.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,11 @@ from priorform.llm.components import components
 
 CELLS = 24  # bits of the frequency sketch: 16 MB of levels, whatever the corpus
 BLOCK = 1 << 18
+TEXTS = 1024  # taken at once
 LIGHT = 4  # entries of a set that take part in star rounds
 RARE, COMMON = 64, 4096  # estimated documents of a token up to which it is indexed alone, or in pairs
 TIER = 4
+SKETCH = 32  # words of 64 bits of a set's parity sketch
 
 
 def shingles(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -45,6 +50,12 @@ def shingles(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(gram_hashes(hashes.of(words), min(width, len(words))))
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """``64 * SKETCH`` bits: the parity of the number of tokens that fall on each."""
+    odd = np.bincount(((mixed(tokens) >> np.uint64(20)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def cell_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELLS)).astype(np.int64)
 
@@ -125,7 +136,7 @@ def index_entries(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.nd
 def _facts_and_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Rows of documents (id, class key, size) and, at the end of a partition, blocks of its token counts."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, k bigint, o binary, n bigint, block int, counts binary"
+    schema = f"id {kind}, k bigint, o binary, short bigint, n bigint, block int, counts binary"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -140,16 +151,17 @@ def _facts_and_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -
 
         for batch in batches:
             o, n = [], []
-            for text in batch.column(2).to_pylist():
-                s = shingles(text, width, hashes)
+            for text in batch.column(2):
+                s = shingles(text.as_py(), width, hashes)
                 n.append(len(s))
-                o.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                o.append(_key(s) if len(s) else None)
                 np.add.at(counts, cell_of(s), 1)
-            seen = True
-            yield rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), o, n, None, None)
+            seen = seen or bool(n)
+            if n:
+                yield rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), o, [_short(x) if x else None for x in o], n, None, None)
         if seen:
             blocks = list(range(len(counts) // BLOCK))
-            yield rows(None, None, None, None, blocks, [zlib.compress(counts[b * BLOCK : (b + 1) * BLOCK].tobytes(), 1) for b in blocks])
+            yield rows(None, None, None, None, None, blocks, [zlib.compress(counts[b * BLOCK : (b + 1) * BLOCK].tobytes(), 1) for b in blocks])
 
     return docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("k"), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -240,9 +252,9 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
     if percent < 80:
         raise ValueError("prefixes of token combinations are complete for 80 percent and more")
     spark = docs.sparkSession
-    texts = docs.select(text_bytes(text_col).alias("text"))
+    texts = docs.select(text_key(text_col).alias("k"), text_bytes(text_col).alias("text"))
     both = store(_facts_and_counts(docs, id_col, text_col, width))
-    facts = both.where("block is null").select("id", "k", "o", "n")
+    facts = both.where("block is null").select("id", "k", "o", "short", "n")
     mean = (facts.agg(F.sum("n")).first()[0] or 0) / (1 << CELLS)
     levels = spark.sparkContext.broadcast(_levels(both.where("block is not null").select("block", "counts"), mean))
     hashes = WordHashes()
@@ -261,31 +273,32 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
         return {"e": pa.array(np.concatenate(out).view(np.int64)), "o": pa.array(np.concatenate(owners)), "least": pa.array(np.concatenate(least))}
 
     columns = "e bigint, o bigint, least int"
-    index = map_arrow(texts, entries, columns)
+    index = map_arrow(texts.select("text"), entries, columns, rows=TEXTS)
     live = store(index.repartition("e").sortWithinPartitions("e", "o").mapInArrow(_shared_entries, columns))
     for _ in range(2):
         live = _pruned(live)
-    cells = live.select(F.expr("shiftrightunsigned(o, 45)").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(o, 40) & 31 as int))").alias("b"))
-    bitmap = np.zeros(1 << 19, np.uint32)  # 2 MB: short keys of classes that meet others, by their first 24 bits
+    owners = live.select(F.col("o").alias("short")).distinct()
+    # one text of every class that meets others; a bitmap of 2 MB, by the first 24 bits of the texts' keys, spares the rest
+    chosen = store(facts.join(owners, "short", "left_semi").groupBy("o").agg(F.min("k").alias("k")).select("k").distinct())
+    cells = chosen.select(F.expr("shiftrightunsigned(k, 45)").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(k, 40) & 31 as int))").alias("b"))
+    bitmap = np.zeros(1 << 19, np.uint32)
     for w, b in cells.groupBy("w").agg(F.bit_or("b")).collect():
         bitmap[w] = b
     shipped = spark.sparkContext.broadcast(bitmap)
 
     def sets_of(cols):
-        out = {"short": [], "o": [], "n": [], "tokens": []}
-        for text in {*cols["text"]}:
-            s = shingles(text, width, hashes)
-            if len(s):
-                key = _key(s)
-                short = _short(key)
-                place = (short & (1 << 64) - 1) >> 40
-                if shipped.value[place >> 5] >> np.uint32(place & 31) & 1:
-                    for name, v in zip(out, (short, key, len(s), s.tobytes())):
+        out = {"short": [], "o": [], "n": [], "tokens": [], "sketch": []}
+        for k, text in {*zip(cols["k"], cols["text"])}:
+            place = (k & (1 << 64) - 1) >> 40
+            if shipped.value[place >> 5] >> np.uint32(place & 31) & 1:
+                s = shingles(text, width, hashes)
+                if len(s):
+                    key = _key(s)
+                    for name, v in zip(out, (_short(key), key, len(s), s.tobytes(), parity_sketch(s))):
                         out[name].append(v)
         return out
 
-    owners = live.select(F.col("o").alias("short")).distinct()
-    wanted = map_arrow(texts, sets_of, "short bigint, o binary, n bigint, tokens binary")
+    wanted = map_arrow(texts, sets_of, "short bigint, o binary, n bigint, tokens binary, sketch array<bigint>", rows=TEXTS)
     sets = store(wanted.join(owners, "short", "left_semi").dropDuplicates(["o"]))
 
     # one row per owner: its entries are listed out only where they are looked at
@@ -310,9 +323,14 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
         else:  # what stars left apart: every pair that is not connected yet and shares as many entries as both ask
             now = owners.select("o", "c", "least", F.explode("es").alias("e"))
             split = now.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e")
-            now = store(now.join(split, "e"))
-            other = now.select("e", F.col("o").alias("p"), F.col("c").alias("d"), F.col("least").alias("m"))
-            met = now.join(other, "e").where("o < p and c <> d").groupBy(F.col("o").alias("x"), F.col("p").alias("y"))
+            bits = sets.select(F.col("short").alias("o"), "n", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH)])
+            now = store(now.join(split, "e").join(bits, "o"))
+            other = now.select(F.col("e").alias("f"), F.col("o").alias("p"), F.col("c").alias("d"), F.col("least").alias("m"), F.col("n").alias("q"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)])
+            apart = reduce(lambda u, v: u + v, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)])
+            able = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("q"))
+            sizes = (100 * F.col("n") >= percent * F.col("q")) & (100 * F.col("q") >= percent * F.col("n"))
+            met = now.join(other, (F.col("e") == F.col("f")) & (F.col("o") < F.col("p")) & (F.col("c") != F.col("d")) & sizes & able)
+            met = met.groupBy(F.col("o").alias("x"), F.col("p").alias("y"))
             met = met.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("least", "m")).alias("m"))
             pairs = met.where("n >= m").select("x", "y")
         if tested is not None:

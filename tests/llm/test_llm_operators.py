@@ -460,3 +460,13 @@ def test_isolated_pairs_beside_a_large_cluster_are_found(spark):
     assert [found[i][0] for i in range(len(x))] == link.sum(axis=1).tolist()
     reach = np.linalg.matrix_power((link | np.eye(len(v), dtype=bool)).astype(float), 30) > 0
     assert [found[i][1] for i in range(len(x))] == reach.argmax(axis=1).tolist()
+
+
+def test_parity_sketches_differ_in_no_more_bits_than_sets_in_tokens():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, n // 8).astype(np.uint64)]))
+        differ = sum(int(x).bit_count() for x in (jaccard.parity_sketch(a) ^ jaccard.parity_sketch(b)).view(np.uint64))
+        apart = len(np.setxor1d(a, b))
+        assert differ <= apart and (differ - apart) % 2 == 0 and (n != 300 or differ > 0.9 * apart)
