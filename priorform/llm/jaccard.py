@@ -11,7 +11,8 @@ part them (n < t (n + 1)) link only if they are equal and have no entries; a set
 a larger one, as 9 tokens into 10 at 0.9, has.
 
 Equal sets are one class from the start. Classes that share an index entry are compared as a star around one of
-them, which is drawn anew each round; classes that are already connected are not compared again. What stars leave
+them, which is drawn anew each round, as long as rounds find links; classes that are already connected are not compared
+again. What stars leave
 apart is compared pair by pair within the join over entries, by size and by a sketch: a bit per token, taken to the
 parity of how many tokens fall on it. Two sketches differ in at most as many bits as the sets differ in tokens, so a
 pair whose sketches differ in more bits than a link allows is no link, and only what passes leaves the join. No link
@@ -241,7 +242,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, check, "a binary, b binary")
 
 
-def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3) -> DataFrame:
+def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 12) -> DataFrame:
     """``id, n_shingles, component_id, group_key, text_key`` per input row (no group without shingles).
 
     Words are cut at ASCII white space after lower-casing A to Z. Documents link when 100 times the
@@ -340,6 +341,8 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
         if some:
             tested = pairs if tested is None else tested.unionByName(pairs)
             found = store(_verified(pairs, sets, percent))
+            some = not found.isEmpty()
+        if some:
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)
         if not stars:

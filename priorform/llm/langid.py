@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from priorform.llm._common import map_arrow
 
-WORDS = re.compile(r"[^\W\d_]+").findall
+#: Numerals that a regular expression's words hold although they are neither letters nor decimal digits.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
+WORDS = re.compile(rf"[^\W\d_{NUMERALS}]+").findall
 UNKNOWN_LANGUAGE = "und"
 REMEMBERED = 400_000
 
@@ -55,8 +57,12 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None], memory: dict | None = None) -> tuple[list[str], list[float]]:
         """Language and confidence (share of the best language among all, at the mean score of a word)."""
+        return self.judge(texts, memory)[:2]
+
+    def judge(self, texts: list[str | None], memory: dict | None = None) -> tuple[list[str], list[float], list[bool]]:
+        """The same, and whether a word or an n-gram of the text is known in any language."""
         memory = {} if memory is None else memory
-        labels, scores = [], []
+        labels, scores, known = [], [], []
         rows: list[np.ndarray] = memory.setdefault("rows", [np.zeros(len(self.languages))])
         index: dict[str, int] = memory.setdefault("index", {})
         for text in texts:
@@ -64,6 +70,7 @@ class LanguageModel:
             if not words or not self.languages:
                 labels.append(UNKNOWN_LANGUAGE)
                 scores.append(0.0)
+                known.append(False)
                 continue
             if len(index) > REMEMBERED:
                 index.clear()
@@ -88,7 +95,8 @@ class LanguageModel:
             best = int(np.argmax(mean))  # of equals the first in order of name
             labels.append(self.languages[best])
             scores.append(float(1.0 / np.exp(math.log(10) * (mean - mean[best])).sum()))
-        return labels, scores
+            known.append(bool(len(used)))
+        return labels, scores, known
 
 
 def train(
@@ -134,8 +142,10 @@ def train(
     return LanguageModel(languages, orders, tables, [-penalty] * (orders + 1))
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str | Column] | None = None, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``keep`` columns of ``docs`` (all by default, the two new ones replaced) with the columns ``into``.
+def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str | Column] | None = None, text_col: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs`` (all by default, the new ones replaced) with the columns ``into``.
+
+    A third name gets whether anything of the text, a word or an n-gram, is known in any language.
 
     ``und`` and 0 for a null text, a text without a letter, or a model without languages. Repeated rows are
     repeated in the result. Texts are read whole.
@@ -144,11 +154,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str | Column]
     memory: dict = {}
 
     def run(cols):
-        labels, scores = shipped.value.predict(cols["__text"], memory)
-        return {**{k: v for k, v in cols.items() if k != "__text"}, into[0]: labels, into[1]: scores}
+        return {**{k: v for k, v in cols.items() if k != "__text"}, **dict(zip(into, shipped.value.judge(cols["__text"], memory)))}
 
     names = keep if keep is not None else [c for c in docs.columns if c not in into]
     kept = docs.select(*names).schema.fields
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     source = docs.select(*names, F.col(text_col).alias("__text"))
-    return map_arrow(source, run, f"{fields}, `{into[0]}` string, `{into[1]}` double", keep=[f.name for f in kept])
+    added = ", ".join(f"`{name}` {kind}" for name, kind in zip(into, ("string", "double", "boolean")))
+    return map_arrow(source, run, f"{fields}, {added}", keep=[f.name for f in kept])

@@ -70,6 +70,9 @@ def test_language_of_awkward_rows(spark, awkward, nothing):
     kept = langid.identify(awkward, model)
     assert kept.columns == [c for c in awkward.columns if c != "score"] + ["lang_pred", "score"]
     assert langid.identify(nothing, langid.train(nothing)).count() == 0
+    odd = make(spark, [(1, "½ ² Ⅷ"), (2, "½same"), (3, "漢字"), (4, "text ☃")])
+    judged = {r["doc_id"]: (r["a"], r["c"]) for r in langid.identify(odd, model, keep=["doc_id"], into=("a", "b", "c")).collect()}
+    assert judged == {1: ("und", False), 2: ("en", True), 3: ("de", False), 4: ("en", True)}
     assert {r["lang_pred"] for r in langid.identify(awkward, langid.train(nothing)).collect()} == {"und"}
 
 
