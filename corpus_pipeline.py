@@ -26,14 +26,21 @@ def _only(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
     return keyed.alias("d").join(wanted.alias("w"), same, how).select(*(F.col(f"d.`{c}`") for c in docs.columns))
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Python takes texts by the thousand: an executor's memory holds few batches of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; null texts and texts without letters go."""
-    found = langid.identify(docs, langid.train(docs), into=("__lang", "__score"))
-    return found.where(F.col("__lang") != langid.UNKNOWN_LANGUAGE).select(*docs.columns)
+    """Documents in a language that was learned; null texts, texts without letters and texts of which nothing is known go."""
+    _short_batches(spark)
+    found = langid.identify(docs, langid.train(docs), into=("__lang", "__score", "__known"))
+    return found.where(F.col("__known") & (F.col("__lang") != langid.UNKNOWN_LANGUAGE)).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality scores ``LEAST_QUALITY`` or more."""
+    _short_batches(spark)
     model = mil.train(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
     return mil.score(docs, model, into="__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
@@ -43,6 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words are no group and stay; repeated rows are one.
     """
+    _short_batches(spark)
     linked = jaccard.link(docs, width=5, percent=80)
     row = F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("k"))
     wordless = linked.where("n_shingles = 0").select(row.alias("r"))
@@ -53,12 +61,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with the benchmark."""
+    _short_batches(spark)
     found = winnow.report(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
     return _only(docs, found.select(F.col("doc_id").alias("id"), F.col("text_key").alias("k")).distinct(), "left_anti")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, text_sha256``: token ids, little-endian 32 bits each, and the digest of their decoding."""
+    _short_batches(spark)
     ids = bpe.encode(docs, bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
