@@ -23,10 +23,17 @@ from pyspark.sql import functions as F
 
 from priorform.llm._common import map_arrow
 
-#: Numerals that a regular expression's words hold although they are neither letters nor decimal digits.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
-WORDS = re.compile(rf"[^\W\d_{NUMERALS}]+").findall
+_RUNS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN_LANGUAGE = "und"
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters. What the expression takes for words also holds numerals such as fractions; they are cut out."""
+    words = _RUNS(text)
+    if words and not "".join(words).isalpha():
+        words = [w for run in words for w in "".join(c if c.isalpha() else " " for c in run).split()]
+    return words
+
 REMEMBERED = 400_000
 
 
@@ -66,7 +73,7 @@ class LanguageModel:
         rows: list[np.ndarray] = memory.setdefault("rows", [np.zeros(len(self.languages))])
         index: dict[str, int] = memory.setdefault("index", {})
         for text in texts:
-            words = WORDS(text.lower()) if text else []
+            words = words_of(text.lower()) if text else []
             if not words or not self.languages:
                 labels.append(UNKNOWN_LANGUAGE)
                 scores.append(0.0)
@@ -117,7 +124,7 @@ def train(
     def count(cols):
         words: dict[str, Counter] = {}
         for lang, text in zip(cols["lang"], cols["text"]):
-            words.setdefault(lang, Counter()).update(WORDS(text.lower()))
+            words.setdefault(lang, Counter()).update(words_of(text.lower()))
         out = {"lang": [], "n": [], "gram": [], "c": []}
         for lang, bag in words.items():
             tables = [bag] + [Counter() for _ in range(orders)]
