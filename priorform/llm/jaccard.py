@@ -11,9 +11,10 @@ part them (n < t (n + 1)) link only if they are equal and have no entries; a set
 a larger one, as 9 tokens into 10 at 0.9, has.
 
 Equal sets are one class from the start. Classes that share an index entry are compared as a star around one of
-them, which is drawn anew each round, as long as rounds find links: first over few entries of each class, then over all
-of them. Classes that are already connected are not compared again. What stars leave apart is compared pair by pair
-within the join over entries, by size and by a sketch: a bit per token, taken to the parity of how many tokens fall on it. Two sketches differ in at most as many bits as the sets differ in tokens, so a
+them, which is drawn anew each round, as long as rounds find links; classes that are already connected are not compared
+again. What stars leave
+apart is compared pair by pair within the join over entries, by size and by a sketch: a bit per token, taken to the
+parity of how many tokens fall on it. Two sketches differ in at most as many bits as the sets differ in tokens, so a
 pair whose sketches differ in more bits than a link allows is no link, and only what passes leaves the join. No link
 between different components is lost.
 """
@@ -36,7 +37,7 @@ from priorform.llm.components import components
 CELLS = 24  # bits of the frequency sketch: 16 MB of levels, whatever the corpus
 BLOCK = 1 << 18
 TEXTS = 1024  # taken at once
-LIGHT = 4  # entries of a set that take part in star rounds
+LIGHT = 8  # entries of a set that take part in star rounds
 RARE, COMMON = 64, 4096  # estimated documents of a token up to which it is indexed alone, or in pairs
 TIER = 4
 SKETCH = 32  # words of 64 bits of a set's parity sketch
@@ -241,7 +242,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, check, "a binary, b binary")
 
 
-def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3, full_rounds: int = 3) -> DataFrame:
+def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 4) -> DataFrame:
     """``id, n_shingles, component_id, group_key, text_key`` per input row (no group without shingles).
 
     Words are cut at ASCII white space after lower-casing A to Z. Documents link when 100 times the
@@ -304,7 +305,7 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
     # one row per owner: its entries are listed out only where they are looked at
     lists = store(live.groupBy("o").agg(F.collect_list("e").alias("es"), F.max("least").alias("least")))
     tested, edges, labels = None, None, None
-    turn, stars, full = 0, True, full_rounds
+    turn, stars = 0, True
     while True:
         stars = stars and turn < star_rounds
         owners = lists
@@ -320,27 +321,19 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
             centre = now.groupBy("e").agg(F.min_by("o", drawn).alias("p"), F.min_by("c", drawn).alias("d"), F.min("c").alias("lo"), F.max("c").alias("hi"))
             near = now.join(centre.where("lo <> hi"), "e").where("o <> p and c <> d")
             pairs = near.groupBy(F.least("o", "p").alias("x"), F.greatest("o", "p").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
-        else:  # what these left apart: over all entries, with sizes and sketches tested inside the join
+        else:  # what stars left apart: every pair that is not connected yet and shares as many entries as both ask
             now = owners.select("o", "c", "least", F.explode("es").alias("e"))
             split = now.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e")
-            bits = sets.select("short", "n", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH)])
-            now = store(now.join(split, "e").join(bits.withColumnRenamed("short", "o"), "o"))
-            theirs = [F.col("n").alias("q"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)]]
+            bits = sets.select(F.col("short").alias("o"), "n", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH)])
+            now = store(now.join(split, "e").join(bits, "o"))
+            other = now.select(F.col("e").alias("f"), F.col("o").alias("p"), F.col("c").alias("d"), F.col("least").alias("m"), F.col("n").alias("q"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)])
             apart = reduce(lambda u, v: u + v, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)])
             able = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("q"))
             sizes = (100 * F.col("n") >= percent * F.col("q")) & (100 * F.col("q") >= percent * F.col("n"))
-            link_ = (F.col("e") == F.col("f")) & (F.col("c") != F.col("d")) & sizes & able
-            if full:  # a star around one owner of each entry once more
-                drawn = F.xxhash64("o", F.lit(turn))
-                centre = now.groupBy(F.col("e").alias("f")).agg(F.min_by("o", drawn).alias("p"), F.min_by("c", drawn).alias("d"))
-                centre = centre.join(bits.select(F.col("short").alias("p"), *theirs), "p")
-                near = now.join(centre, link_ & (F.col("o") != F.col("p")))
-                pairs = near.select(F.least("o", "p").alias("x"), F.greatest("o", "p").alias("y")).distinct()
-            else:  # every pair that is not connected yet and shares as many entries as both ask
-                other = now.select(F.col("e").alias("f"), F.col("o").alias("p"), F.col("c").alias("d"), F.col("least").alias("m"), *theirs)
-                met = now.join(other, link_ & (F.col("o") < F.col("p"))).groupBy(F.col("o").alias("x"), F.col("p").alias("y"))
-                met = met.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("least", "m")).alias("m"))
-                pairs = met.where("n >= m").select("x", "y")
+            met = now.join(other, (F.col("e") == F.col("f")) & (F.col("o") < F.col("p")) & (F.col("c") != F.col("d")) & sizes & able)
+            met = met.groupBy(F.col("o").alias("x"), F.col("p").alias("y"))
+            met = met.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("least", "m")).alias("m"))
+            pairs = met.where("n >= m").select("x", "y")
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = store(pairs)
@@ -352,11 +345,9 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
         if some:
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)
-        if not stars and not full:
-            break
         if not stars:
-            full = full - 1 if some else 0
-        turn, stars = turn + 1, stars and some
+            break
+        turn, stars = turn + 1, some
 
     classes = facts.where("o is not null").groupBy("o").agg(F.min("id").alias("least"))
     if labels is not None:
