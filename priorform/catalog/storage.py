@@ -39,20 +39,27 @@ def csv_without_header(t: Tables) -> DataFrame:
     return read_csv(t.spark, path, schema=_parts(t).schema, header=False)
 
 
-@query("create_if_absent", "select r_regionkey, r_name, 'first' as version from region")
+_VERSIONED = "select o_orderkey, o_custkey, cast(year(o_orderdate) as int) as o_year, {version} as version from orders"
+
+
+def _versioned(t: Tables, version: str) -> DataFrame:
+    return t.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"), F.lit(version).alias("version"))
+
+
+@query("create_if_absent", _VERSIONED.format(version="'first'"))
 def create_if_absent(t: Tables) -> DataFrame:
-    """A table that exists already is kept and reused."""
-    path, rows = _place(t), t.region.select("r_regionkey", "r_name")
-    materialize(rows.withColumn("version", F.lit("first")), path, mode="ignore")
-    return materialize(rows.withColumn("version", F.lit("second")).limit(1), path, mode="ignore")
+    """A table that exists already is kept and reused, whatever is written later."""
+    path = _place(t)
+    materialize(_versioned(t, "first"), path, mode="ignore", partition_by=["o_year"])
+    return materialize(_versioned(t, "second"), path, mode="ignore", partition_by=["o_year"])
 
 
-@query("replace_table", "select n_nationkey, n_name, n_regionkey from nation")
+@query("replace_table", _VERSIONED.format(version="'second'"))
 def replace_table(t: Tables) -> DataFrame:
-    """An overwritten table holds the new rows only; it is partitioned by a column."""
-    path, rows = _place(t), t.nation.select("n_nationkey", "n_name", "n_regionkey")
-    materialize(rows.where("n_nationkey > 5"), path, mode="overwrite", partition_by=["n_regionkey"])
-    return materialize(rows, path, mode="overwrite", partition_by=["n_regionkey"])
+    """An overwritten table holds the new rows only; it is partitioned by year."""
+    path = _place(t)
+    materialize(_versioned(t, "first"), path, mode="overwrite", partition_by=["o_year"])
+    return materialize(_versioned(t, "second"), path, mode="overwrite", partition_by=["o_year"])
 
 
 @query(

@@ -93,14 +93,17 @@ def crosstab(t: Tables) -> DataFrame:
     return summaries.crosstab(t.part, "p_brand", "p_type")
 
 
+# The levels that become columns.
+_LANGS = ("de", "en", "es", "fr")
+
+
 @query(
     "value_counts_pivot",
-    """
-select * from (pivot (select source, lang, 1::bigint as one from documents) on lang using sum(one)::bigint group by source)""",
+    "select source, " + ", ".join(f"nullif(count(*) filter (where lang = '{v}'), 0) as {v}" for v in _LANGS) + " from documents group by source",
 )
 def value_counts_pivot(t: Tables) -> DataFrame:
     """Counts by source and language, absent pairs NULL."""
-    return summaries.value_counts_pivot(t.documents, "source", "lang")
+    return summaries.value_counts_pivot(t.documents, "source", "lang", _LANGS)
 
 
 _STATS = ("min", "q25", "median", "mean", "q75", "max")
