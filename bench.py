@@ -23,6 +23,7 @@ HEADLINE = (
     "career_totals", "one_hot", "row_index", "summary_stats", "box_stats", "cramers_v", "correlation_ratio",
     "corr_matrix", "dmr_1d_cont", "dmr_1d_adaptive", "dmr_2d_cont_cont", "pair_table_cat_cat", "pair_table_cat_cont",
     "pair_table_cont_cont", "rank_predictors", "knn_topk", "knn_classify",
+    "logit_z_all", "game_pairs_cat_cont",
 )
 
 
