@@ -7,9 +7,12 @@ pairs within twice the threshold's angle, since two vectors within the threshold
 of a vector's pairs the closest ``neighbours`` take part in a round. Pairs at or above the threshold are links.
 
 Bounded audit queries are compared with all vectors, only to measure: recall is the mean over queries that have links,
-taken over all of them and over those outside large components. While one of the two is too low, tables and rounds
-are added. If the most tables do not reach it, or too few such queries were drawn to tell, all vectors are compared
-block by block, and one link per block and pair of components joins what the search left apart.
+taken over all of them and over those outside large components. Half of the queries are drawn from all vectors, the
+others from those for which a second set of tables, independent of the search and with a wider reach, shows links: so
+sparse duplicates are measured too. While one recall is too low, tables and rounds are added. Only if the most tables
+do not reach it are all vectors compared block by block, and one link per block and pair of components joins what the
+search left apart. If neither the draw nor the second tables show a link, there is nothing to measure and the search
+stands. The second tables' links join the result after the measurement, never the graph that is measured.
 
 Where lists are saturated they are enlarged to the vector's whole component: the members of a component are compared
 in blocks, which only yields counts. So the number of links has no cap and no group is listed pair by pair. Equal
@@ -30,6 +33,7 @@ from priorform.llm._common import map_arrow, store
 from priorform.llm.components import components
 
 BLOCK = 1024
+AUDIT_REACH = 4  # how many times wider the audit's own tables reach
 CLOSEST = 4  # pairs below the floor that a vector in a list brings into the graph in a round
 
 
@@ -162,45 +166,50 @@ def _kept(graph: DataFrame, neighbours: int, floor: float) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
 
 
-def _audited(classes: DataFrame, queries: int, threshold: float) -> DataFrame:
-    """All links ``a, b`` of at most ``queries`` vectors ``a``, which are drawn by hash and compared with every vector."""
-    drawn = classes.select("key", "v").orderBy(F.xxhash64("key", F.lit(3))).limit(queries).collect()
+def _questions(classes: DataFrame, beside: DataFrame, asked: int, neighbours: int) -> list:
+    """At most ``asked`` vectors with their keys: a half drawn by hash from all of them, the rest by hash from those that
+    have links in ``beside``, those of few links first."""
+    by_hash = F.xxhash64("key", F.lit(3))
+    ends = beside.select(F.col("a").alias("key")).unionByName(beside.select(F.col("b").alias("key")))
+    linked = ends.groupBy("key").agg((F.count(F.lit(1)) > neighbours).alias("many")).orderBy("many", by_hash).limit(asked - asked // 2)
+    drawn = classes.select("key").orderBy(by_hash).limit(asked // 2)
+    return classes.join(F.broadcast(linked.select("key").unionByName(drawn).distinct()), "key").select("key", "v").collect()
+
+
+def _recalls(classes: DataFrame, labels: DataFrame, questions: list, threshold: float, small: int) -> tuple[float, float, int, int]:
+    """Mean share of its links that a question knows, over all with links and over those in components of at most
+    ``small`` classes, and how many of both kinds there are. A link is known if both ends are in one component.
+
+    Every vector is compared with the questions; a task lists links only as counts by question and component.
+    """
     by_size: dict[int, tuple[list, np.ndarray]] = {}
-    for n in {len(r["v"]) for r in drawn}:
-        rows = [r for r in drawn if len(r["v"]) == n]
+    for n in {len(r["v"]) for r in questions}:
+        rows = [r for r in questions if len(r["v"]) == n]
         by_size[n] = ([bytes(r["key"]) for r in rows], np.stack([np.frombuffer(r["v"]) for r in rows]))
     shipped = classes.sparkSession.sparkContext.broadcast(by_size)
 
     def compare(cols):
-        out = {"a": [], "b": [], "sim": []}
+        met: dict[tuple, int] = {}
         for n in {len(v) for v in cols["v"]} & shipped.value.keys():
             keys, q = shipped.value[n]
-            mine = [(k, v) for k, v in zip(cols["key"], cols["v"]) if len(v) == n]
+            mine = [(k, v, c) for k, v, c in zip(cols["key"], cols["v"], cols["comp"]) if len(v) == n]
             for at in range(0, len(mine), BLOCK):
                 part = mine[at : at + BLOCK]
-                sims = q @ np.stack([np.frombuffer(v) for _, v in part]).T
+                sims = q @ np.stack([np.frombuffer(v) for _, v, _ in part]).T
                 for i, j in zip(*np.nonzero(sims >= threshold)):
-                    a, b = keys[i], part[j][0]
-                    if a != b:
-                        for name, value in zip(out, (a, b, float(sims[i, j]))):
-                            out[name].append(value)
-        return out
-
-    return map_arrow(classes.select("key", "v"), compare, PAIR)
+                    if keys[i] != part[j][0]:
+                        met[keys[i], part[j][2]] = met.get((keys[i], part[j][2]), 0) + 1
+        return {"a": [a for a, _ in met], "cb": [c for _, c in met], "n": list(met.values())}
 
-
-def _recalls(truth: DataFrame, labels: DataFrame, small: int) -> tuple[float, float, int]:
-    """Mean share of its links that a query knows, over all queries with links and over those in components of at most
-    ``small`` classes, and the number of the latter. A link is known if both ends are in one component."""
+    placed = classes.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left").select("key", "v", "comp")
+    links = map_arrow(placed, compare, "a binary, cb binary, n bigint").groupBy("a", "cb").agg(F.sum("n").alias("n"))
     sized = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    left = labels.join(sized, "comp").select(F.col("node").alias("a"), F.col("comp").alias("ca"), "m")
-    right = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    ends = truth.join(left, "a", "left").join(right, "b", "left")
-    known = F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double")
-    queries = ends.groupBy("a").agg(F.avg(known).alias("r"), F.coalesce(F.max("m"), F.lit(1)).alias("m"))
+    own = labels.join(sized, "comp").select(F.col("node").alias("a"), F.col("comp").alias("ca"), "m")
+    known = F.when(F.col("ca") == F.col("cb"), F.col("n")).otherwise(0)
+    answers = links.join(own, "a", "left").groupBy("a").agg((F.sum(known) / F.sum("n")).alias("r"), F.coalesce(F.max("m"), F.lit(1)).alias("m"))
     apart = F.col("m") <= small
-    every, few, n = queries.agg(F.avg("r"), F.avg(F.when(apart, F.col("r"))), F.count_if(apart)).first()
-    return 1.0 if every is None else every, 1.0 if few is None else few, n
+    every, few, n, n_apart = answers.agg(F.avg("r"), F.avg(F.when(apart, F.col("r"))), F.count(F.lit(1)), F.count_if(apart)).first()
+    return 1.0 if every is None else every, 1.0 if few is None else few, n, n_apart
 
 
 def _left_apart(classes: DataFrame, labels: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -275,17 +284,16 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(
     vectors: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 16,
     reach: int = 8, tables: int = 8, most_tables: int = 64, rounds: int = 3, audit: int = 1000, recall: float = 0.98, seed: int = 11,
-    least_audited: int = 50,
 ) -> tuple[DataFrame, dict]:
     """``id, n_links, component_id`` per input row, and what the search measured.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
     different lengths do not link. ``n_links`` counts the other rows found at a cosine of ``threshold`` or more,
     equal vectors included; ``component_id`` is the smallest id reachable. Repeated rows are rows of their own.
-    The measurements hold the tables used, the audited recall of the search (mean over audit queries that have
-    links), ``recall_apart`` over the ``audited_apart`` of them outside components of more than ``neighbours``
-    classes, and whether all vectors were compared (``exact``): so if a recall stays below ``recall``, or fewer than
-    ``least_audited`` such queries were found among more than ``audit`` classes. After that, recalls are 1.
+    The measurements hold the tables used, the audited recall of the search (mean over the ``audited`` queries that
+    have links, of at most ``audit``), ``recall_apart`` over the ``audited_apart`` of them outside components of more
+    than ``neighbours`` classes, and whether all vectors were compared (``exact``): only if a recall was measured
+    below ``recall`` after ``most_tables``. After that, recalls are 1. This is one way for every number of vectors.
     Other columns are not read.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -302,14 +310,15 @@ def near_duplicates(
     facts = store(map_arrow(source, keyed, f"id {kind}, key binary, v binary"))
     classes = store(facts.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("v").alias("v")))
     n = classes.count()
-    told = {"classes": n, "tables": 0, "recall": 1.0, "recall_apart": 1.0, "audited_links": 0, "audited_apart": 0, "exact": False}
+    told = {"classes": n, "tables": 0, "recall": 1.0, "recall_apart": 1.0, "audited": 0, "audited_apart": 0, "exact": False}
     if n < 2:
         graph = None
     else:
         bits = max(1, int(np.log2(n / 32)) if n > 64 else 1)
         floor = max(threshold * 2 * threshold - 1, -1.0)
-        truth = store(_audited(classes, audit, threshold))
-        told["audited_links"] = truth.count()
+        second = _table_pairs(classes, range(most_tables, most_tables + tables), min(bits, 62), AUDIT_REACH * reach, threshold, seed)
+        beside = store(second.select("a", "b"))
+        questions = _questions(classes, beside, audit, neighbours)
         graph = None
         while True:
             fresh = _table_pairs(classes, range(told["tables"], told["tables"] + tables), min(bits, 62), reach, -1.0, seed)
@@ -323,15 +332,15 @@ def near_duplicates(
                     break
             links = graph.where(F.col("sim") >= threshold).select("a", "b")
             labels = components(links)
-            told["recall"], told["recall_apart"], told["audited_apart"] = _recalls(truth, labels, neighbours)
-            enough = n <= audit or told["audited_apart"] >= least_audited
+            told["recall"], told["recall_apart"], told["audited"], told["audited_apart"] = _recalls(classes, labels, questions, threshold, neighbours)
             reached = min(told["recall"], told["recall_apart"]) >= recall
-            if reached or not enough or told["tables"] >= most_tables:
+            if reached or told["tables"] >= most_tables:
                 break
-        if not (reached and enough):
+        links = links.unionByName(beside)
+        if not reached:
             told |= {"exact": True, "recall": 1.0, "recall_apart": 1.0}
             links = links.unionByName(store(_left_apart(classes, labels, n, threshold)).select("a", "b"))
-            labels = components(links)
+        labels = components(links)
     if graph is None:
         named = classes.select("key", F.col("least").alias("component_id"), F.lit(0).cast("bigint").alias("links"), "rows")
     else:
