@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorform.catalog.registry import query
-from priorform.sources.sinks import materialize, shared_folder, write_csv
+from priorform.catalog.registry import money, query
+from priorform.sources.sinks import materialize, shared_folder, snapshot, write_csv
 from priorform.sources.tables import Tables, read_csv, register_view
 from priorform.sources.tables import query as run_sql
 
@@ -62,6 +62,20 @@ def replace_table(t: Tables) -> DataFrame:
     return materialize(_versioned(t, "second"), path, mode="overwrite", partition_by=["o_year"])
 
 
+_BY_YEAR = """select cast(year(o_orderdate) as int) as o_year, count(*) as n,
+       sum(cast(o_totalprice as decimal(18,2))) as total from orders group by 1"""
+
+
+@query("snapshot_reuse", _BY_YEAR)
+def snapshot_reuse(t: Tables) -> DataFrame:
+    """Yearly totals as a snapshot of the order files; the second call finds what the first one stored."""
+    totals = t.orders.groupBy(F.year("o_orderdate").alias("o_year")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(money("o_totalprice")).alias("total")
+    )
+    snapshot(totals, "yearly-orders", _BY_YEAR)
+    return snapshot(totals, "yearly-orders", _BY_YEAR)
+
+
 @query(
     "named_view",
     "select o_orderpriority, count(*) as n, sum(cast(o_totalprice as decimal(18,2))) as total from orders group by 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -59,3 +60,37 @@ def stage(df: DataFrame) -> DataFrame:
     they need and a lost executor costs no recomputation.
     """
     return materialize(df, f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}", mode="error")
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was committed; one that broke off leaves no such mark."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def snapshot_path(df: DataFrame, name: str, recipe: str) -> str:
+    """Where :func:`snapshot` stores the frame: it goes with the recipe, the schema and the files read.
+
+    Files count by path, size and time of change; their contents are not read. A frame without files is refused.
+    """
+    spark, files = df.sparkSession, df.inputFiles()
+    if not files:
+        raise ValueError("a snapshot needs a frame that reads files")
+    facts = spark.read.format("binaryFile").load(files).select("path", "modificationTime", "length")
+    # sums of hashes do not depend on the order of the files and are combined before the shuffle
+    hashes = [F.xxhash64(F.lit(i), "path", "modificationTime", "length").cast("decimal(38,0)") for i in range(2)]
+    found = facts.agg(F.count(F.lit(1)), *(F.sum(h) for h in hashes)).first()
+    key = hashlib.sha256("\n".join([recipe, df.schema.json(), *map(str, found)]).encode()).hexdigest()[:32]
+    return f"{shared_folder(spark)}/{name}-{key}"
+
+
+def snapshot(df: DataFrame, name: str, recipe: str) -> DataFrame:
+    """A stored stage that is reused while its inputs and its ``recipe`` stay, and built again when one changes.
+
+    ``recipe`` is the statement or the version of the code that makes the frame: two frames of one recipe over the
+    same files are taken to be the same. A write that broke off is no snapshot and is done again.
+    """
+    path = snapshot_path(df, name, recipe)
+    if _finished(df.sparkSession, path):
+        return df.sparkSession.read.parquet(path)
+    return materialize(df, path, mode="overwrite")

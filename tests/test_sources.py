@@ -75,3 +75,25 @@ def test_dataset_choice(spark):
 
 def test_sql_over_frames(spark):
     assert tables.query(spark, "select max(id) as m from {rows}", rows=spark.range(7)).first()["m"] == 6
+
+
+def test_snapshot_is_reused_until_input_or_recipe_changes(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = lambda *v: spark.createDataFrame([(i,) for i in v], "x int").coalesce(1)
+    rows(1, 2).write.parquet(source)
+    read = lambda: spark.read.schema("x int").parquet(source)
+    name = f"t{tmp_path.name}"
+    path = sinks.snapshot_path(read(), name, "all")
+    first = sinks.snapshot(read(), name, "all")
+    assert sorted(r["x"] for r in first.collect()) == [1, 2] and sinks.snapshot_path(read(), name, "all") == path
+    files = first.inputFiles()
+    assert sinks.snapshot(read(), name, "all").inputFiles() == files  # not written again
+    assert sinks.snapshot_path(read(), name, "other") != path
+    rows(3).write.mode("append").parquet(source)
+    assert sorted(r["x"] for r in sinks.snapshot(read(), name, "all").collect()) == [1, 2, 3]
+    assert sorted(r["x"] for r in spark.read.parquet(path).collect()) == [1, 2]
+    broken = sinks.snapshot_path(read(), name, "broken")
+    rows(9).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(broken)
+    assert sorted(r["x"] for r in sinks.snapshot(read(), name, "broken").collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        sinks.snapshot(spark.range(3), name, "no files")
