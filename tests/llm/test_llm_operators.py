@@ -465,7 +465,7 @@ def test_isolated_pairs_beside_a_large_cluster_are_found(spark):
     assert [found[i][1] for i in range(len(x))] == reach.argmax(axis=1).tolist()
 
 
-def test_sparse_pairs_are_found_by_the_search_itself(spark):
+def test_sparse_pairs_are_found_without_comparing_blocks(spark):
     rng = np.random.default_rng(12)
     x = [*rng.normal(size=(2970, 32))]
     for k in range(30):
