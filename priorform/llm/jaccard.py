@@ -15,8 +15,9 @@ them, which is drawn anew each round, as long as rounds find links; classes that
 again. What stars leave
 apart is compared pair by pair within the join over entries, by size and by a sketch: a bit per token, taken to the
 parity of how many tokens fall on it. Two sketches differ in at most as many bits as the sets differ in tokens, so a
-pair whose sketches differ in more bits than a link allows is no link, and only what passes leaves the join. No link
-between different components is lost.
+pair whose sketches differ in more bits than a link allows is no link, and only what passes leaves the join, listed at
+the first entry that both sets have among their smallest ones instead of once per entry. No link between different
+components is lost.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from priorform.llm.components import components
 CELLS = 24  # bits of the frequency sketch: 16 MB of levels, whatever the corpus
 BLOCK = 1 << 18
 TEXTS = 1024  # taken at once
+HEAD = 8  # smallest entries of a set by which a pair finds the first one that it shares
 LIGHT = 8  # entries of a set that take part in star rounds
 RARE, COMMON = 64, 4096  # estimated documents of a token up to which it is indexed alone, or in pairs
 TIER = 4
@@ -321,19 +323,21 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
             centre = now.groupBy("e").agg(F.min_by("o", drawn).alias("p"), F.min_by("c", drawn).alias("d"), F.min("c").alias("lo"), F.max("c").alias("hi"))
             near = now.join(centre.where("lo <> hi"), "e").where("o <> p and c <> d")
             pairs = near.groupBy(F.least("o", "p").alias("x"), F.greatest("o", "p").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
-        else:  # what stars left apart: every pair that is not connected yet and shares as many entries as both ask
-            now = owners.select("o", "c", "least", F.explode("es").alias("e"))
+        else:  # what stars left apart: every pair that is not connected yet and may link by sizes and sketches
+            # partners share ``least`` entries or more, so the smallest one they share is not among the last ``least - 1`` of either
+            first = F.slice(F.sort_array("es"), F.lit(1), F.size("es") - F.col("least") + 1)
+            now = owners.select("o", "c", F.slice(F.sort_array("es"), 1, HEAD).alias("head"), F.explode(first).alias("e"))
             split = now.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e")
             bits = sets.select(F.col("short").alias("o"), "n", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH)])
             now = store(now.join(split, "e").join(bits, "o"))
-            other = now.select(F.col("e").alias("f"), F.col("o").alias("p"), F.col("c").alias("d"), F.col("least").alias("m"), F.col("n").alias("q"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)])
+            other = now.select(F.col("e").alias("f"), F.col("o").alias("p"), F.col("c").alias("d"), F.col("head").alias("heads"), F.col("n").alias("q"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)])
             apart = reduce(lambda u, v: u + v, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)])
             able = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("q"))
             sizes = (100 * F.col("n") >= percent * F.col("q")) & (100 * F.col("q") >= percent * F.col("n"))
-            met = now.join(other, (F.col("e") == F.col("f")) & (F.col("o") < F.col("p")) & (F.col("c") != F.col("d")) & sizes & able)
-            met = met.groupBy(F.col("o").alias("x"), F.col("p").alias("y"))
-            met = met.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("least", "m")).alias("m"))
-            pairs = met.where("n >= m").select("x", "y")
+            # a pair is listed where no smaller entry is seen in both heads: once, as a rule
+            listed = F.coalesce(F.array_min(F.array_intersect("head", "heads")) >= F.col("e"), F.lit(True))
+            met = now.join(other, (F.col("e") == F.col("f")) & (F.col("o") < F.col("p")) & (F.col("c") != F.col("d")) & sizes & able & listed)
+            pairs = met.select(F.col("o").alias("x"), F.col("p").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = store(pairs)

@@ -109,8 +109,9 @@ def test_jaccard_groups_are_those_of_all_pairs(spark, width, percent):
             for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             texts.append((100 * i + j, " ".join(words)))
-    got = jaccard.link(make(spark, texts), width=width, percent=percent)
-    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute_groups(texts, width, percent)
+    for star_rounds in (4, 0):  # without stars all links come from the step that lists pairs
+        got = jaccard.link(make(spark, texts), width=width, percent=percent, star_rounds=star_rounds)
+        assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute_groups(texts, width, percent)
 
 
 @pytest.mark.parametrize("width,percent,sizes", [(3, 90, (9, 10)), (5, 80, (4, 5))])
