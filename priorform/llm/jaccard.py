@@ -324,8 +324,8 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
             near = now.join(centre.where("lo <> hi"), "e").where("o <> p and c <> d")
             pairs = near.groupBy(F.least("o", "p").alias("x"), F.greatest("o", "p").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
         else:  # what stars left apart: every pair that is not connected yet and may link by sizes and sketches
-            # partners share ``least`` entries or more, so the smallest one they share is not among the last ``least - 1`` of either
-            first = F.slice(F.sort_array("es"), F.lit(1), F.size("es") - F.col("least") + 1)
+            # partners share ``least`` entries or more, so the smallest one they share is not among the last ``least - 1`` of either (with fewer entries than that there is no partner)
+            first = F.slice(F.sort_array("es"), F.lit(1), F.greatest(F.size("es") - F.col("least") + 1, F.lit(0)))
             now = owners.select("o", "c", F.slice(F.sort_array("es"), 1, HEAD).alias("head"), F.explode(first).alias("e"))
             split = now.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("e")
             bits = sets.select(F.col("short").alias("o"), "n", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH)])
