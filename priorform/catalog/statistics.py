@@ -7,7 +7,7 @@ from itertools import combinations, product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorform.catalog.registry import query, rounded
+from priorform.catalog.registry import ORACLES, query, rounded
 from priorform.operators import association, binned, report
 from priorform.sources.datasets import DatasetRegistry, DatasetSpec
 from priorform.sources.sinks import stage
@@ -209,10 +209,20 @@ def pearson_ols(t: Tables) -> DataFrame:
     return rounded(out, "corr", "slope", "t")
 
 
-@query("ols_pvalue")
+# two-sided p of Student's t by Simpson's rule over the angle whose tangent is t / sqrt(dof)
+_P_PARTS = 20_000
+_P_SQL = f"""select x, y, n, corr, slope, t,
+       round(2 * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi()) * wide / (3 * {_P_PARTS})
+             * sum(case when i in (0, {_P_PARTS}) then 1 when i % 2 = 1 then 4 else 2 end * exp((dof - 1) * ln(cos(low + wide * i / {_P_PARTS})))), 9) + 0.0 as p
+from (select *, least(pi() / 2 - 1e-12 - low, 40 / sqrt(dof)) as wide
+      from (select *, n - 2.0::double as dof, atan(abs(t) / sqrt(n - 2.0::double)) as low from slopes)), range(0, {_P_PARTS} + 1) as parts(i)
+group by x, y, n, corr, slope, t, dof, low, wide"""
+
+
+@query("ols_pvalue", f"with slopes as ({ORACLES['pearson_ols']})\n{_P_SQL}")
 def ols_pvalue(t: Tables) -> DataFrame:
     """The same with p-values."""
-    return association.with_p_values(association.pearson_pairs(t.lineitem, _OLS))
+    return rounded(association.with_p_values(association.pearson_pairs(t.lineitem, _OLS)), "corr", "slope", "t").withColumn("p", F.round("p", 9))
 
 
 @query("logit_z")

@@ -1,12 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from priorform.functions.pvalues import normal_two_sided, student_two_sided
+from priorform.functions.pvalues import normal_two_sided, student_p
 from priorform.operators import association, binned, report
 from priorform.operators.summaries import grid_edges
 
@@ -130,15 +131,39 @@ def test_listwise_rows(spark):
     assert association.pearson_ols(df, "x", "y", complete=["x", "y"]).first()["n"] == 200
 
 
-@pytest.mark.parametrize("t, dof, p", [(0.0, 5, 1.0), (2.015048, 5, 0.1), (12.706205, 1, 0.05), (1.959964, 10**8, 0.05), (-2.228139, 10, 0.05)])
-def test_student_tail(t, dof, p):
-    assert student_two_sided(t, dof) == pytest.approx(p, rel=1e-5)
+def tails(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t double, dof double")
+    return [r["p"] for r in df.withColumn("p", student_p(F.col("t"), F.col("dof"))).orderBy("i").collect()]
 
 
-def test_tails_at_the_ends():
-    assert student_two_sided(None, 3) is None and student_two_sided(INF, 3) == 0.0
+def test_student_tail(spark):
+    known = [(0.0, 5, 1.0), (2.015048, 5, 0.1), (12.706205, 1, 0.05), (1.959964, 10**8, 0.05), (1.959964, 10**12, 0.05), (-2.228139, 10, 0.05)]
+    assert tails(spark, [(t, float(dof)) for t, dof, _ in known]) == pytest.approx([p for *_, p in known], rel=1e-5)
+
+
+def test_student_tail_is_the_integral_of_its_density(spark):
+    """Simpson's rule over the angle whose tangent is t / sqrt(dof); both branches of the fraction, few and many degrees."""
+    rows = [(t, float(dof)) for dof in (1, 2, 3, 7, 30, 251, 10**4, 10**6) for t in (0.01, 0.3, 0.9, 1.1, 1.7, 2.5, 6.0, 20.0)]
+    for (t, dof), p in zip(rows, tails(spark, rows), strict=True):
+        low = math.atan(t / math.sqrt(dof))
+        angle, step = np.linspace(low, min(math.pi / 2 - 1e-12, low + 40 / math.sqrt(dof)), 200_001, retstep=True)
+        weight = np.where(np.arange(len(angle)) % 2, 4.0, 2.0)
+        weight[[0, -1]] = 1
+        norm = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi)
+        assert p == pytest.approx(2 * norm * step / 3 * (weight * np.exp((dof - 1) * np.log(np.cos(angle)))).sum(), rel=1e-7, abs=1e-12), (t, dof)
+
+
+def test_tails_at_the_ends(spark):
+    nan = float("nan")
+    assert tails(spark, [(None, 3.0), (2.0, None), (nan, 3.0), (2.0, nan), (2.0, 0.0), (2.0, -1.0)]) == [None] * 6
+    assert tails(spark, [(INF, 3.0), (-INF, 1e9)]) == [0.0, 0.0]
+    assert tails(spark, [(60.0, 30.0), (5000.0, 1e9)]) == pytest.approx([0.0, 0.0], abs=1e-30)
     assert normal_two_sided(1.959964) == pytest.approx(0.05, rel=1e-5)
-    assert student_two_sided(60.0, 30) < 1e-30
+
+
+def test_student_tail_runs_no_python(spark, capsys):
+    spark.range(3).select(student_p(F.col("id"), F.col("id") + 1)).explain()
+    assert "Python" not in capsys.readouterr().out
 
 
 def test_logit_closed_form(spark):
