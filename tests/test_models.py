@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorform.operators import models
+from priorform.operators.lsh import lsh_nearest
 from priorform.operators.neighbours import _dealt, class_shares, nearest, routes, vote
 
 
@@ -91,3 +92,44 @@ def test_model_choice():
 def test_importances_sum_to_one(spark):
     got = {r["predictor"]: r["importance"] for r in models.forest_importance(separable(spark), ["x", "z"], "y", categorical=True, trees=10).collect()}
     assert sum(got.values()) == pytest.approx(1.0) and got["x"] > got["z"]
+
+
+def clustered(spark, n=1500, dims=16, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 10, (30, dims))
+    rows = [(i, [float(v) for v in np.round(centres[i % 30] + rng.normal(0, 1, dims), 3)], "a") for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id bigint, features array<double>, label string")
+
+
+@pytest.mark.parametrize("block_rows", [20_000, 7])
+def test_hashing_finds_most_neighbours(spark, block_rows):
+    """Audited recall is that of all test rows, within the audit's error; found pairs carry exact distances."""
+    rows, df = clustered(spark)
+    test = df.where("id % 10 = 0").select("id", "features")
+    got = lsh_nearest(df, test, 5, bucket=40, block_rows=block_rows)
+    pairs = {(r["test_id"], r["train_id"], r["rank"]): r["distance"] for r in got.rows.collect()}
+    truth = {(a, b) for a, b, _ in brute(rows, rows[::10], 5)}
+    assert not got.exact and got.recall >= 0.9 and len(pairs) == 5 * 150
+    assert len({p[:2] for p in pairs} & truth) / len(truth) == pytest.approx(got.recall, abs=1e-12)  # all were audited
+    assert all(d == pytest.approx(float(np.linalg.norm(np.subtract(rows[a][1], rows[b][1])))) for (a, b, _), d in pairs.items())
+    assert all(b == a and d == 0 for (a, b, rank), d in pairs.items() if rank == 1)
+
+
+def test_hashing_gives_way_to_the_exact_search(spark):
+    """One table of noise misses the recall; the answer is then the exact one."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 24)], "a") for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, features array<double>, label string")
+    got = lsh_nearest(df, df.where("id % 20 = 0"), 5, bucket=4, tables=(1,))
+    assert got.exact and got.recall < 0.9
+    assert {tuple(r) for r in got.rows.select("test_id", "train_id", "rank").collect()} == brute(rows, rows[::20], 5)
+
+
+def test_hashing_awkward_tables(spark):
+    """Empty sides have no neighbours; fewer train rows than k are all found; repeats of one point share a bucket."""
+    rows, df = points(spark, n=3)
+    assert lsh_nearest(df.where("id < 0"), df, 5).rows.count() == 0 and lsh_nearest(df, df.where("id < 0"), 5).rows.count() == 0
+    assert lsh_nearest(df, df, 5, bucket=1).rows.count() == 9
+    same = spark.createDataFrame([(i, [1.0, 2.0], None) for i in range(50)], "id bigint, features array<double>, label string")
+    got = lsh_nearest(same, same.where("id >= 48"), 3, bucket=1, block_rows=5).rows.select("test_id", "train_id", "rank")
+    assert {tuple(r) for r in got.collect()} == {(t, i, i + 1) for t in (48, 49) for i in range(3)}
