@@ -36,6 +36,16 @@ def test_response_text(spark, texts, expected):
     assert (c is None and expected is None) or [r[0] for r in df.select(c).collect()] == expected
 
 
+def test_two_value_rule_reads_no_text_as_a_number(spark, monkeypatch):
+    df = spark.createDataFrame([("x",), ("1",), (None,)], "c string")
+
+    def refused(text):
+        raise AssertionError("texts were parsed")
+
+    monkeypatch.setattr(cleaning, "parsed_double", refused)
+    assert cleaning.two_value_types(df, ["c"]) == {"c": False}
+
+
 def test_blank_and_drop(spark):
     df = spark.createDataFrame([("", 1.0), ("None", 2.0), ("R", NAN), ("L", 3.0), (None, 1.0)], "h string, x double")
     clean = cleaning.blank_to_null(df, ["h"])
