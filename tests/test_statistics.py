@@ -8,7 +8,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from priorform.functions.pvalues import normal_two_sided, student_p
-from priorform.operators import association, binned, report
+from priorform.operators import association, binned, models, report
 from priorform.operators.summaries import grid_edges
 
 INF = float("inf")
@@ -308,3 +308,30 @@ def test_screening_types_and_tests(spark):
     assert got["x"]["t"] > 3 and got["x"]["p"] < 0.01 and got["sex"]["importance"] is None
     linear = report.screen_predictors(df.withColumn("r", F.col("x") * 2 + F.rand(1)), ["x"], "r").first()
     assert linear["response_type"] == "continuous" and linear["t"] > 3
+
+
+def counted(df):
+    """The frame, and how many of its rows were made so far."""
+    made = df.sparkSession.sparkContext.accumulator(0)
+
+    def one(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(one, df.schema), made
+
+
+def test_screening_makes_its_rows_once(spark):
+    rnd = random.Random(9)
+    rows = [(x := rnd.gauss(0, 1), rnd.choice(["m", "f"]), x + rnd.gauss(0, 1) > 0) for _ in range(150)]
+    df, made = counted(spark.createDataFrame(rows, "x double, sex string, r boolean"))
+    assert len(report.screen_predictors(df, ["x", "sex"], "r").collect()) == 2
+    assert made.value == 150
+
+
+def test_forest_makes_its_rows_once(spark):
+    rnd = random.Random(10)
+    df, made = counted(spark.createDataFrame([(rnd.random(), i % 2) for i in range(80)], "x double, y int"))
+    assert models.forest_importance(df, ["x"], "y", categorical=True, trees=3).first()["importance"] == pytest.approx(1.0)
+    assert made.value == 80
