@@ -163,3 +163,27 @@ def test_next_gap_matches_the_theta_join(spark):
     got = {r["g"]: r["gap"] for r in tp.next_gap(df, "e", "ts").collect()}
     assert got == expected
     assert got[1] == -1 and 5 not in got
+
+
+@pytest.mark.parametrize("wanted", ["flag", "true"])
+def test_listed_history_is_that_of_the_wanted_rows(spark, wanted):
+    rnd = random.Random(11)
+    day = lambda: dt.datetime(2006, 12, 1) + dt.timedelta(days=rnd.randrange(300), hours=rnd.randrange(24))
+    rows = [(i, rnd.choice(["a", "a", "a", "b", None]), rnd.choice([day(), day(), None]), rnd.choice([rnd.randrange(9), None]), rnd.random() < 0.4) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, e string, ts timestamp_ntz, v int, flag boolean")
+    horizons = {"100": tp.CLOSED_100, "season": tp.SEASON_TO_DATE, "career": tp.CAREER_TO_DATE}
+    names = [f"{m}_{h}" for h in horizons for m in ("v", "n")]
+    full = tp.with_history(df, "e", "ts", horizons, sums={"v": "v"}).where(wanted)
+    got = tp.listed_history(df, "e", "ts", horizons, F.expr(wanted), ["g"], sums={"v": "v"})
+    key = lambda frame: sorted(map(tuple, frame.select("g", "e", *names).collect()))
+    assert [*map(str, key(got))] == [*map(str, key(full))]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_listed_gap_is_the_gap(spark):
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice([1, 2, None]), rnd.choice([dt.datetime(2007, 1, 1) + dt.timedelta(hours=rnd.randrange(900)), None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "g int, e int, ts timestamp_ntz")
+    full = {r["g"]: r["gap"] for r in tp.next_gap(df, "e", "ts").collect()}
+    assert {r["g"]: r["gap"] for r in tp.listed_gap(df, "e", "ts", "g").collect()} == full and len(full) > 20
