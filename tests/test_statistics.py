@@ -335,3 +335,23 @@ def test_forest_makes_its_rows_once(spark):
     df, made = counted(spark.createDataFrame([(rnd.random(), i % 2) for i in range(80)], "x double, y int"))
     assert models.forest_importance(df, ["x"], "y", categorical=True, trees=3).first()["importance"] == pytest.approx(1.0)
     assert made.value == 80
+
+
+def test_cells_of_numbers_are_those_of_the_blocks(spark, monkeypatch):
+    rnd = random.Random(12)
+    value = lambda: rnd.choice([None, float("nan"), rnd.gauss(0, 2), 1.0, 2.0, -3.0])
+    rows = [(value(), value(), rnd.choice([None, 4]), None, rnd.choice([0, 1, None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "p double, q double, one int, none double, y int")
+    pairs, y = binned.all_pairs(["p", "q", "one", "none"]), F.col("y").cast("double")
+    kinds = {c: "cont" for c in ("p", "q", "one", "none")}
+    edges = binned.equal_width_edges(df, list(kinds))
+    names = ["pair", "a", "b", "n", "n_response", "sum_response"]
+    listed = lambda frame: sorted(map(str, frame.select(*names).collect()))
+    blocks = listed(binned.pair_cells(df, pairs, binned.codes_for(df, kinds, edges), y))
+    assert listed(binned.number_cells(df, pairs, edges, y)) == blocks
+
+    def refused(*_, **__):
+        raise AssertionError("bins as expressions")
+
+    monkeypatch.setattr(binned, "pair_cells", refused)
+    assert binned.dmr_2d(df, pairs, kinds, y).count() == len({b.split("pair=")[1].split(",")[0] for b in blocks if "None" not in b.split(" n=")[0]})
