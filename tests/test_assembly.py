@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from priorform.catalog import market
 from priorform.functions import dates, rates
 from priorform.operators.sides import attach_roles, pair_sides
+from priorform.sources.tables import Tables
 
 
 def values(spark, schema, rows, column):
@@ -47,3 +49,13 @@ def test_attach_roles_is_one_left_join_per_role(spark):
     feats = spark.createDataFrame([(1, 10, 5), (1, 20, 6), (1, 77, 1), (2, 30, 7)], "g bigint, p bigint, f int")
     got = attach_roles(base, feats, "g", "p", {"h_": "home", "a_": "away"}, ["f"])
     assert {tuple(r) for r in got.collect()} == {(1, 10, 20, 5, 6), (2, 10, 30, None, 7), (3, None, 99, None, None)}
+
+
+def test_lines_of_a_task_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """More lines make more partitions; the lines of an order stay together."""
+    spark.range(900).selectExpr("id div 3 as l_orderkey", "id as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = Tables(spark, str(tmp_path))
+    monkeypatch.setattr(market, "LINES_PER_TASK", 30, raising=False)
+    moved = market.by_order(t, t.lineitem).withColumn("p", F.spark_partition_id())
+    orders = moved.groupBy("l_orderkey").agg(F.count_distinct("p").alias("p"), F.count("*").alias("n")).collect()
+    assert moved.rdd.getNumPartitions() == 30 and len(orders) == 300 and {(r["p"], r["n"]) for r in orders} == {(1, 3)}
