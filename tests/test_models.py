@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from priorform.operators import models
 from priorform.operators.lsh import lsh_nearest
-from priorform.operators.neighbours import _dealt, class_shares, nearest, routes, vote
+from priorform.operators.neighbours import _asked, _dealt, class_shares, nearest, routes, vote
 
 
 def points(spark, n=120, dims=3, seed=1):
@@ -46,6 +46,30 @@ def test_a_row_visits_few_cells(spark):
     assert got == brute(rows, [r for r in rows if r[0] % 40 == 0], 3)
 
 
+def test_a_row_is_sent_once_per_shelf(spark):
+    """In noise no cell is ruled out; a test row still goes to few shelves, of bounded size, and finds its neighbours."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 16)], "a") for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, features array<double>, label string")
+    test = df.where("id % 30 = 0").select("id", "features")
+    _, cells = _dealt(df, 3)
+    first, parts = cells.shelves(300)
+    assert int(cells.rows.sum()) == 900 and (first + parts).max() <= 8
+    sent = sum(len(r["shelves"]) for r in _asked(test, cells, 3, first, parts, False).collect())
+    assert sent <= 30 * (first + parts).max() < routes(test, cells, 3).count() / 2
+    got = {tuple(r) for r in nearest(df, test, 3, block_rows=300).select("test_id", "train_id", "rank").collect()}
+    assert got == brute(rows, rows[::30], 3)
+
+
+def test_crowded_cells_have_several_shelves(spark):
+    """Copies of one point and far single points: a crowded cell is parted, and ties go to the lowest ids."""
+    rows = [(i, [0.0, 0.0], "a") for i in range(60)] + [(100 + i, [9.0 * i + 9, 1.0], "b") for i in range(6)]
+    df = spark.createDataFrame(rows, "id bigint, features array<double>, label string")
+    test = df.where("id in (7, 59, 103)")
+    got = {tuple(r) for r in nearest(df, test, 4, block_rows=8).select("test_id", "train_id", "rank").collect()}
+    assert got == brute(rows, [r for r in rows if r[0] in (7, 59, 103)], 4)
+
+
 def test_fewer_train_rows_than_k_and_no_test_rows(spark):
     rows, df = points(spark, n=3)
     assert nearest(df, df, 5).count() == 9
