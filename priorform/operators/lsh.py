@@ -1,7 +1,9 @@
 """Approximate k nearest neighbours by locality-sensitive hashing, with audited recall.
 
 A table of hashes is a few random directions; a row's bucket in it is the sides of the mean on which the row lies. A
-test row meets the train rows of its buckets, block by block as in the exact search, and only its k best leave a task.
+train row goes to its bucket of each table. A test row, of which there are fewer, also goes to the buckets beyond the
+planes that it is nearest to, so few tables suffice, and rows are sent few times. It meets the train rows of its buckets,
+block by block, and only its k best leave a task.
 Some test rows are asked exactly first: tables are added until these find ``recall`` of their neighbours, and if the most
 tables do not suffice, the exact search answers all. So it does for test rows whose buckets hold fewer than k train rows.
 """
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from priorform.operators.neighbours import BLOCK_ROWS, _matrix, best_in_cells, nearest
 from priorform.sources.sinks import stage
 
-TABLES = (8, 16, 32, 64)
+TABLES = (2, 4, 8, 16, 32, 64)
+NEAR_PLANES = 3  # of a table, on both sides of which a test row looks
 AUDITED = 200  # test rows asked exactly, drawn by hash
 BUCKET = 256  # train rows of a bucket, on average
 KINDS = "id bigint, features array<double>"
@@ -37,8 +40,9 @@ class Found:
     exact: bool
 
 
-def bucketed(df: DataFrame, centre: np.ndarray, bits: int, tables: int, seed: int) -> DataFrame:
-    """Each row once per table, with ``cell``: the table in the upper bits, the bucket in the lower 40."""
+def bucketed(df: DataFrame, centre: np.ndarray, bits: int, tables: int, seed: int, planes_near: int = 0) -> DataFrame:
+    """Each row once per table, with ``cell``: the table in the upper bits, the bucket in the lower 40; with
+    ``planes_near`` also in the buckets that differ in some of so many planes, those nearest to the row."""
     directions = np.random.default_rng(seed).normal(size=(max(TABLES), bits, len(centre)))[:tables]
     shared = df.sparkSession.sparkContext.broadcast((directions.reshape(tables * bits, -1), centre))
 
@@ -47,9 +51,11 @@ def bucketed(df: DataFrame, centre: np.ndarray, bits: int, tables: int, seed: in
         weights = np.int64(1) << np.arange(bits, dtype=np.int64)
         for b in batches:
             if len(b):
-                side = ((_matrix(b["features"]) - middle) @ planes.T > 0).reshape(len(b), tables, bits)
-                cells = side @ weights + (np.arange(tables, dtype=np.int64) << 40)
-                yield b.assign(cells=list(cells))
+                along = ((_matrix(b["features"]) - middle) @ planes.T).reshape(len(b), tables, bits)
+                cells = ((along > 0) @ weights + (np.arange(tables, dtype=np.int64) << 40))[:, :, None]
+                for near in np.moveaxis(np.argsort(np.abs(along), axis=2, kind="stable")[:, :, :planes_near], 2, 0):
+                    cells = np.concatenate([cells, cells ^ weights[near][:, :, None]], axis=2)
+                yield b.assign(cells=list(cells.reshape(len(b), -1)))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(sides, f"{kinds}, cells array<bigint>").withColumn("cell", F.explode("cells")).drop("cells")
@@ -57,7 +63,7 @@ def bucketed(df: DataFrame, centre: np.ndarray, bits: int, tables: int, seed: in
 
 def _ranked(best: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("test_id").orderBy("distance", "train_id")
-    once = best.dropDuplicates(["test_id", "train_id"])
+    once = best.repartition("test_id").dropDuplicates(["test_id", "train_id"])
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -82,12 +88,14 @@ def lsh_nearest(
     truth = stage(nearest(train, audited, k).select("test_id", "train_id"))
     wanted, reached, used = truth.count(), 0.0, tables[0]
 
-    def search(rows: DataFrame, count: int) -> DataFrame:
-        near, asked = (bucketed(df, centre, bits, count, seed) for df in (train, rows))
-        return stage(_ranked(best_in_cells(near.join(asked.select("cell").distinct(), "cell", "left_semi"), asked, k, block_rows), k))
+    def search(rows: DataFrame, count: int, few: bool = False) -> DataFrame:
+        near, asked = bucketed(train, centre, bits, count, seed), bucketed(rows, centre, bits, count, seed, NEAR_PLANES)
+        if few:  # the buckets of few test rows are few
+            near = near.join(F.broadcast(asked.select("cell").distinct()), "cell", "left_semi")
+        return stage(_ranked(best_in_cells(near, asked, k, block_rows), k))
 
     for used in tables:
-        reached = search(audited, used).join(truth, ["test_id", "train_id"], "left_semi").count() / wanted
+        reached = search(audited, used, True).join(truth, ["test_id", "train_id"], "left_semi").count() / wanted
         if reached >= recall:
             break
     else:

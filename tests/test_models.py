@@ -139,6 +139,15 @@ def test_hashing_finds_most_neighbours(spark, block_rows):
     assert all(b == a and d == 0 for (a, b, rank), d in pairs.items() if rank == 1)
 
 
+def test_few_tables_suffice(spark):
+    """A test row also looks beyond the planes next to it, so that rows are sent to few tables."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 24) * 0.3 + 4.0 * np.eye(24)[i % 24]], "a") for i in range(1200)]
+    df = spark.createDataFrame(rows, "id bigint, features array<double>, label string")
+    got = lsh_nearest(df, df.where("id % 10 = 0"), 5, bucket=40)
+    assert not got.exact and got.recall >= 0.9 and got.tables < 8
+
+
 def test_hashing_gives_way_to_the_exact_search(spark):
     """One table of noise misses the recall; the answer is then the exact one."""
     rng = np.random.default_rng(5)
