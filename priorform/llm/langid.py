@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,21 +46,48 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
 
 
+class ScoreTable(Mapping):
+    """Words or n-grams with a row of numbers each, all in one matrix: an array of its own per entry takes twice the memory."""
+
+    def __init__(self, width: int):
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((0, width))
+
+    def row(self, gram: str, empty: float) -> np.ndarray:
+        """The row of an entry, to be filled; a new one holds ``empty``."""
+        at = self.place.setdefault(gram, len(self.place))
+        if at >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.full((max(64, len(self.rows)), self.rows.shape[1]), empty)])
+        return self.rows[at]
+
+    def trim(self) -> None:
+        self.rows = self.rows[: len(self.place)].copy()
+
+    def __getitem__(self, gram: str) -> np.ndarray:
+        return self.rows[self.place[gram]]
+
+    def __iter__(self):
+        return iter(self.place)
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     orders: int
-    tables: list[dict[str, np.ndarray]]  # [0] words, [n] n-grams: log10 of the relative frequency per language
+    tables: list[ScoreTable]  # [0] words, [n] n-grams: log10 of the relative frequency per language
     absent: list[float]  # the score of what a language does not have, per table
 
     def word_scores(self, word: str) -> np.ndarray | None:
-        known = self.tables[0].get(word)
+        known = self.tables[0].place.get(word)
         if known is not None:
-            return known
+            return self.tables[0].rows[known]
         for n in range(self.orders, 0, -1):
-            found = [v for v in map(self.tables[n].get, grams_of(word, n)) if v is not None]
+            found = [v for v in map(self.tables[n].place.get, grams_of(word, n)) if v is not None]
             if found:
-                return np.mean(found, axis=0)
+                return np.mean(self.tables[n].rows[found], axis=0)
         return None
 
     def predict(self, texts: list[str | None], memory: dict | None = None) -> tuple[list[str], list[float]]:
@@ -70,8 +98,9 @@ class LanguageModel:
         """The same, and whether a word or an n-gram of the text is known in any language."""
         memory = {} if memory is None else memory
         labels, scores, known = [], [], []
-        rows: list[np.ndarray] = memory.setdefault("rows", [np.zeros(len(self.languages))])
         index: dict[str, int] = memory.setdefault("index", {})
+        rows: np.ndarray = memory.setdefault("rows", np.zeros((1024, len(self.languages))))  # the first stands for unknown words
+        filled = memory.setdefault("filled", 1)
         for text in texts:
             words = words_of(text.lower()) if text else []
             if not words or not self.languages:
@@ -81,24 +110,20 @@ class LanguageModel:
                 continue
             if len(index) > REMEMBERED:
                 index.clear()
-                del rows[1:]
-                memory.pop("matrix", None)
+                filled = 1
             for w in {*words}:
                 if w not in index:
                     s = self.word_scores(w)
-                    index[w] = 0 if s is None else len(rows)
+                    index[w] = 0 if s is None else filled
                     if s is not None:
-                        rows.append(s)
-            if len(memory.get("matrix", ())) < len(rows):
-                grown = np.zeros((2 * len(rows), len(self.languages)))
-                grown[: len(rows)] = rows
-                memory["matrix"], memory["filled"] = grown, len(rows)
-            elif memory["filled"] < len(rows):
-                memory["matrix"][memory["filled"] : len(rows)] = rows[memory["filled"] :]
-                memory["filled"] = len(rows)
+                        if filled == len(rows):
+                            rows = memory["rows"] = np.concatenate([rows, np.zeros_like(rows)])
+                        rows[filled] = s
+                        filled += 1
+            memory["filled"] = filled
             ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
             used = ids[ids > 0]
-            mean = memory["matrix"][used].mean(axis=0) if len(used) else rows[0]
+            mean = rows[used].mean(axis=0) if len(used) else rows[0]
             best = int(np.argmax(mean))  # of equals the first in order of name
             labels.append(self.languages[best])
             scores.append(float(1.0 / np.exp(math.log(10) * (mean - mean[best])).sum()))
@@ -116,7 +141,7 @@ def train(
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], orders, [{} for _ in range(orders + 1)], [0.0] * (orders + 1))
+        return LanguageModel([], orders, [ScoreTable(0) for _ in range(orders + 1)], [0.0] * (orders + 1))
     steps = 1 << 30
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(steps, steps * docs_per_lang // sizes[k])))])
     sample = rows.where(F.pmod(F.xxhash64("i", F.lit(17)), F.lit(steps)) < share[F.col("lang")]).select("lang", "text")
@@ -142,10 +167,12 @@ def train(
     counts = map_arrow(sample, count, "lang string, n int, gram string, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("total"))
     kept = counts.join(F.broadcast(totals), ["lang", "n"]).where(F.col("c") >= least * F.col("total"))
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(orders + 1)]
+    tables = [ScoreTable(len(languages)) for _ in range(orders + 1)]
     at = {k: i for i, k in enumerate(languages)}
     for lang, n, gram, c, total in kept.select("lang", "n", "gram", "c", "total").toLocalIterator():
-        tables[n].setdefault(gram, np.full(len(languages), -penalty))[at[lang]] = math.log10(c / total)
+        tables[n].row(gram, -penalty)[at[lang]] = math.log10(c / total)
+    for table in tables:
+        table.trim()
     return LanguageModel(languages, orders, tables, [-penalty] * (orders + 1))
 
 

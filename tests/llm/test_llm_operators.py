@@ -46,6 +46,15 @@ def by_id(df):
 # --- language ---------------------------------------------------------------------------------------------------------
 
 
+def test_language_tables_hold_one_matrix_each(spark):
+    """A worker holds the model without an array object per entry; words met later get rows of one matrix as well."""
+    model = langid.train(make(spark, [(1, "the cat and the dog"), (2, "der hund")], {1: "en", 2: "de"}))
+    assert [t.rows.shape for t in model.tables] == [(len(t), 2) for t in model.tables] and len(model.tables[0]) == 6
+    memory = {}
+    assert model.predict(["the cat", None, "hund xx", "zzz the"], memory)[0] == ["en", "und", "de", "en"]
+    assert memory["filled"] == 4 and memory["rows"].shape == (1024, 2) and not memory["rows"][0].any()
+
+
 def test_language_backs_off_to_shorter_grams(spark):
     texts = [(1, "the cat and the dog"), (2, "der hund und die katze"), (3, "le chat et le chien")]
     model = langid.train(make(spark, texts, {1: "en", 2: "de", 3: "fr"}))
@@ -172,6 +181,13 @@ def test_similar_sets_share_enough_index_entries_whatever_the_classes(percent):
                 assert len(shared) >= max(jaccard.shared_least(len(x), percent) for x in (a, b))
 
 
+def test_packed_counts_hold_all_counts_in_few_bytes():
+    counts = np.zeros(jaccard.BLOCK, np.uint32)
+    counts[[3, 9, 77, 500, jaccard.BLOCK - 1]] = [1, 254, 255, 256, 4_000_000_000]
+    assert (jaccard.unpacked(jaccard.packed(counts)) == counts).all()
+    assert (jaccard.unpacked(jaccard.packed(counts * 0)) == 0).all()
+
+
 def test_index_entries_stay_in_proportion_for_frequent_tokens():
     tokens = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2))
     for level in (0, 9, 20):
