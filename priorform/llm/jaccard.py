@@ -59,6 +59,21 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts of a block, a byte each where that suffices; the others follow the bytes as pairs of place and count."""
+    large = np.flatnonzero(counts > 254)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return zlib.compress(small.tobytes() + large.astype(np.int64).tobytes() + counts[large].astype(np.int64).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data)
+    counts = np.frombuffer(raw, np.uint8, BLOCK).astype(np.int64)
+    place, large = np.frombuffer(raw, np.int64, offset=BLOCK).reshape(2, -1)
+    counts[place] = large
+    return counts
+
+
 def cell_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELLS)).astype(np.int64)
 
@@ -104,7 +119,7 @@ def _combinations(tokens: np.ndarray, groups: np.ndarray, k: int, salt: int) ->
 
 
 def index_entries(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """Index entries of a set. Equal sets apart, two sets of Jaccard similarity ``percent`` share at least
+    """Index entries of a set, given as sorted tokens. Equal sets apart, two sets of Jaccard similarity ``percent`` share at least
     ``shared_least`` of either set: prefixes are longer by what the smallest partner asks."""
     n = len(tokens)
     misses = n - -(-percent * n // 100)
@@ -112,7 +127,7 @@ def index_entries(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.nd
     if 100 * n < percent * (n + 1):  # the smallest larger partner is too large already
         return np.zeros(0, np.uint64)
     level = levels[cell_of(tokens)]
-    order = np.lexsort((tokens, level))
+    order = np.argsort(level, kind="stable")  # tokens of a level stay sorted
     tokens, level = tokens[order], level[order]
     alone = int((level <= np.log2(1 + RARE)).sum())
     if alone >= misses + least:
@@ -164,7 +179,7 @@ def _facts_and_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -
                 yield rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), o, [_short(x) if x else None for x in o], n, None, None)
         if seen:
             blocks = list(range(len(counts) // BLOCK))
-            yield rows(None, None, None, None, None, blocks, [zlib.compress(counts[b * BLOCK : (b + 1) * BLOCK].tobytes(), 1) for b in blocks])
+            yield rows(None, None, None, None, None, blocks, [packed(counts[b * BLOCK : (b + 1) * BLOCK]) for b in blocks])
 
     return docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("k"), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -176,7 +191,7 @@ def _levels(blocks: DataFrame, mean: float) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total[block] = total.get(block, 0) + np.frombuffer(zlib.decompress(data.as_py()), np.uint32).astype(np.int64)
+                total[block] = total.get(block, 0) + unpacked(data.as_py())
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([levels_of(v, mean).tobytes() for v in total.values()], pa.binary())], names=["block", "levels"])
 
