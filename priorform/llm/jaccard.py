@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorform.llm._common import LOWER, WordHashes, gram_hashes, map_arrow, mixed, store, text_bytes, text_key
+from priorform.llm._common import distinct, gram_hashes, map_arrow, mixed, store, text_bytes, text_key, word_hashes
 from priorform.llm.components import components
 
 CELLS = 24  # bits of the frequency sketch: 16 MB of levels, whatever the corpus
@@ -45,12 +45,10 @@ TIER = 4
 SKETCH = 32  # words of 64 bits of a set's parity sketch
 
 
-def shingles(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
-    """The set of word shingles as sorted 64-bit hashes; a shorter text is one shingle, an empty one none."""
-    words = text.translate(LOWER).split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(gram_hashes(hashes.of(words), min(width, len(words))))
+def shingles(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
+    """For each text the set of word shingles as sorted 64-bit hashes; a shorter text is one shingle, an empty one none."""
+    for words in word_hashes(texts):
+        yield distinct(gram_hashes(words, min(width, len(words)))) if len(words) else words
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
@@ -148,7 +146,7 @@ def index_entries(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.nd
             stop = int(np.searchsorted(gained, need)) + 1
             need -= int(gained[min(stop, len(part)) - 1])
             out.append(_combinations(part[:stop], group[:stop], k, low * 4 + k))
-    return np.unique(np.concatenate(out))
+    return distinct(np.concatenate(out))
 
 
 def _facts_and_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -161,7 +159,7 @@ def _facts_and_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, seen = WordHashes(), np.zeros(1 << CELLS, np.uint32), False
+        counts, seen = np.zeros(1 << CELLS, np.uint32), False
 
         def rows(*columns):
             size = max(len(c) for c in columns if c is not None)
@@ -169,11 +167,10 @@ def _facts_and_counts(docs: DataFrame, id_col: str, text_col: str, width: int) -
 
         for batch in batches:
             o, n = [], []
-            for text in batch.column(2):
-                s = shingles(text.as_py(), width, hashes)
+            for s in shingles(batch.column(2).to_pylist(), width):
                 n.append(len(s))
                 o.append(_key(s) if len(s) else None)
-                np.add.at(counts, cell_of(s), 1)
+                np.add.at(counts, cell_of(s), np.uint32(1))
             seen = seen or bool(n)
             if n:
                 yield rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), o, [_short(x) if x else None for x in o], n, None, None)
@@ -275,12 +272,10 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
     facts = both.where("block is null").select("id", "k", "o", "short", "n")
     mean = (facts.agg(F.sum("n")).first()[0] or 0) / (1 << CELLS)
     levels = spark.sparkContext.broadcast(_levels(both.where("block is not null").select("block", "counts"), mean))
-    hashes = WordHashes()
 
     def entries(cols):
         out, owners, least = [], [], []
-        for text in {*cols["text"]}:
-            s = shingles(text, width, hashes)
+        for s in shingles([*{*cols["text"]}], width):
             e = index_entries(s, levels.value, percent) if len(s) else s
             if len(e):
                 out.append(e)
@@ -306,14 +301,13 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
 
     def sets_of(cols):
         out = {"short": [], "o": [], "n": [], "tokens": [], "sketch": []}
-        for k, text in {*zip(cols["k"], cols["text"])}:
-            place = (k & (1 << 64) - 1) >> 40
-            if shipped.value[place >> 5] >> np.uint32(place & 31) & 1:
-                s = shingles(text, width, hashes)
-                if len(s):
-                    key = _key(s)
-                    for name, v in zip(out, (_short(key), key, len(s), s.tobytes(), parity_sketch(s))):
-                        out[name].append(v)
+        place = (np.array(cols["k"], np.int64).view(np.uint64) >> np.uint64(40)).astype(np.int64)
+        asked = shipped.value[place >> 5] >> (place & 31).astype(np.uint32) & 1
+        for s in shingles([*{t for t, a in zip(cols["text"], asked) if a}], width):
+            if len(s):
+                key = _key(s)
+                for name, v in zip(out, (_short(key), key, len(s), s.tobytes(), parity_sketch(s))):
+                    out[name].append(v)
         return out
 
     wanted = map_arrow(texts, sets_of, "short bigint, o binary, n bigint, tokens binary, sketch array<bigint>", rows=TEXTS)

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 
 from priorform.llm import bpe, jaccard, langid, licenses, mil, nndescent, pitman, shards, winnow, wordpiece
-from priorform.llm._common import LOWER
+from priorform.llm._common import LOWER, word_hashes
 from priorform.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, score string, n_tokens string, e string, k string"
@@ -156,6 +156,16 @@ def test_sets_share_index_entries_with_their_subsets(percent):
     assert met > 100
 
 
+def test_words_are_hashed_by_batches_of_texts():
+    texts = [None, b"", b" \n", b"Abc abd\x0babc", "\u00dcber \u00fcber".encode(), b"a" * 64 + b" " + b"A" * 65 + b" " + b"a" * 65, b"ab ba b"] + [b"x%d y" % i for i in range(200)]
+    words = [(t or b"").translate(LOWER).split() for t in texts]
+    hashes = [*word_hashes(texts)]
+    assert [len(h) for h in hashes] == [len(w) for w in words]
+    pairs = {(w, int(h)) for ws, hs in zip(words, hashes) for w, h in zip(ws, hs)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert [x.tolist() for x in jaccard.shingles(texts, 3)] == [x.tolist() for t in texts for x in jaccard.shingles([t], 3)]
+
+
 def test_jaccard_awkward_rows(spark, awkward, nothing):
     got = jaccard.link(awkward)
     assert got.count() == len(AWKWARD) and jaccard.link(nothing).count() == 0
