@@ -396,6 +396,46 @@ def test_model_probabilities_of_all_words_add_up(spark):
     assert 0 < first <= 1  # texts of no or one word are some of all texts
 
 
+def test_model_knows_all_pairs_as_one_process_does(spark):
+    """Whatever ``context`` and ``dish`` say: words below ``head`` and their pairs count, as in counts held whole."""
+    rng = random.Random(3)
+    after = {w: [rng.randrange(80) for _ in range(3)] for w in range(80)}
+
+    def text(w):
+        words = [w]
+        for _ in range(30):
+            words.append(rng.choice(after[words[-1]]) if rng.random() < 0.8 else int(rng.paretovariate(0.7)) % 80)
+        return " ".join(f"w{x}" for x in words)
+
+    texts = [(i, text(rng.randrange(80))) for i in range(140)]
+    docs = make(spark, texts)
+    rows = by_id(pitman.score(docs, docs["doc_id"] < 100, context=1.0, dish=1.0, head=0.015))
+    lists = {i: [*t.split(), None] for i, t in texts}
+    number = {w: n for n, w in enumerate(sorted({w for i in range(100) for w in lists[i]}, key=str))}
+    start = len(number)
+    pairs = lambda i: [(start if u is None else number[u], number[w]) for u, w in zip([None, *lists[i]], lists[i])]
+    counts = np.zeros((start + 1, start), np.int64)
+    for i in range(100):
+        np.add.at(counts, tuple(zip(*pairs(i))), 1)
+    p = pitman.sample_contexts(counts, np.full(start, 1 / (start + 1)), burn_in=10, samples=40, theta=1.0, seed=2)
+    for part in (range(100), range(100, 140)):
+        got, want = (sum(f(i) for i in part) for f in (lambda i: rows[i]["score"], lambda i: sum(math.log10(p[u, w]) for u, w in pairs(i))))
+        assert got == pytest.approx(want, rel=0.01)
+    assert sum(rows[i]["score"] for i in range(100, 140)) > 0.9 * sum(rows[i]["base_score"] for i in range(100, 140))
+
+
+def test_many_customers_of_one_pair_get_the_tables_of_one_by_one():
+    rng = np.random.default_rng(8)
+    for c, base, others in ((20, 0.1, 30), (300, 0.01, 500), (900, 0.2, 50)):
+        m = 2000
+        t = np.ones(m)
+        for n in range(1, c):
+            a = (1 + 0.6 * (others + t)) * base
+            t += rng.random(m) * (n - 0.6 * t + a) < a
+        got = pitman.seat_by_key(np.full(m, c), np.full(m, base), np.full(m, others), 1.0, 0.6, pitman.keyed(np.arange(m, dtype=np.uint64), 1, 5))
+        assert abs(got.mean() - t.mean()) < 5 * t.std() * math.sqrt(2 / m) + 0.01 * t.mean()
+
+
 def test_base_scores_and_counts(spark, awkward, nothing):
     docs = awkward
     rows = pitman.score(docs, docs["doc_id"] != 8, head=0.2, dish=0.05, context=0.1).collect()
