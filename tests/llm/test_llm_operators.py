@@ -424,6 +424,15 @@ def test_model_knows_all_pairs_as_one_process_does(spark):
     assert sum(rows[i]["score"] for i in range(100, 140)) > 0.9 * sum(rows[i]["base_score"] for i in range(100, 140))
 
 
+def test_sorted_keys_come_back():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 50, 5000):
+        for low in (0, 1 << 63):
+            keys = np.sort(rng.integers(0, 1 << 62, n, np.uint64)) + np.uint64(low)
+            assert (pitman.unpack_sorted(pitman.pack_sorted(keys)) == keys).all()
+    assert len(pitman.pack_sorted(keys)) < 8 * len(keys)
+
+
 def test_many_customers_of_one_pair_get_the_tables_of_one_by_one():
     rng = np.random.default_rng(8)
     for c, base, others in ((20, 0.1, 30), (300, 0.01, 500), (900, 0.2, 50)):
