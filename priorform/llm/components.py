@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorform.llm._common import store
+from priorform.llm._common import free_shuffles, store
 
 
 def _print(links: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int
     Alternating star rounds: every node hands its smallest neighbour to its larger ones, then every node
     connects its smaller neighbours to the smallest of them, until the edges stay the same. Each round is one
     minimum per node and one join, so a node with very many neighbours is split like any other join key; each
-    round is stored, so a lost executor costs one round. Raises if ``max_rounds`` do not suffice.
+    round is stored, so a lost executor costs one round, and its shuffles are freed. Raises if ``max_rounds`` do not suffice.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     links = store(both.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
@@ -33,6 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = store(small.where("u <> v").distinct())
         before, now = now, _print(links)
+        free_shuffles(edges.sparkSession)
         if now == before:
             break
     else:

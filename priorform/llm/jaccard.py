@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorform.llm._common import distinct, gram_hashes, map_arrow, mixed, store, text_bytes, text_key, word_hashes
+from priorform.llm._common import distinct, free_shuffles, gram_hashes, map_arrow, mixed, store, text_bytes, text_key, word_hashes
 from priorform.llm.components import components
 
 CELLS = 24  # bits of the frequency sketch: 16 MB of levels, whatever the corpus
@@ -318,6 +318,7 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
     tested, edges, labels = None, None, None
     turn, stars = 0, True
     while True:
+        free_shuffles(spark)
         stars = stars and turn < star_rounds
         owners = lists
         if labels is None:
