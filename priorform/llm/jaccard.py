@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorform.llm._common import distinct, free_shuffles, gram_hashes, map_arrow, mixed, store, text_bytes, text_key, word_hashes
+from priorform.llm._common import distinct, drop_stored, free_shuffles, gram_hashes, map_arrow, mixed, sent, store, text_bytes, text_key, word_hashes
 from priorform.llm.components import components
 
 CELLS = 24  # bits of the frequency sketch: 16 MB of levels, whatever the corpus
@@ -232,10 +232,12 @@ def _pruned(live: DataFrame) -> DataFrame:
     enough = live.groupBy("o").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("m")).where("n >= m").select("o")
     left = live.join(enough, "o", "left_semi")
     shared = left.groupBy("e").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("e")
-    return store(left.join(shared, "e", "left_semi"))
+    out = store(left.join(shared, "e", "left_semi"))
+    drop_stored(live)
+    return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` (class keys) among candidate pairs ``x, y`` of short keys."""
 
     def check(cols):
@@ -251,8 +253,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("short").alias("x"), F.col("o").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("s"))
     right = sets.select(F.col("short").alias("y"), F.col("o").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t"))
     sizes = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    near = pairs.join(left.drop("s"), "x").join(right.drop("t"), "y").where(sizes & (F.col("a") != F.col("b"))).select("x", "y")
-    both = near.join(left, "x").join(right, "y").select("a", "b", "s", "t")
+    near = sent(sent(pairs, n_pairs).join(left.drop("s"), "x"), n_pairs).join(right.drop("t"), "y").where(sizes & (F.col("a") != F.col("b"))).select("x", "y")
+    both = sent(near, n_pairs).join(left, "x").join(right, "y").select("a", "b", "s", "t")
     return map_arrow(both, check, "a binary, b binary")
 
 
@@ -316,6 +318,8 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
     # one row per owner: its entries are listed out only where they are looked at
     lists = store(live.groupBy("o").agg(F.collect_list("e").alias("es"), F.max("least").alias("least")))
     tested, edges, labels = None, None, None
+    n_tested, n_labels = 0, 0
+    drop_stored(live, chosen)
     turn, stars = 0, True
     while True:
         free_shuffles(spark)
@@ -324,7 +328,8 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
         if labels is None:
             owners = owners.withColumn("c", F.col("o"))
         else:
-            comp = sets.join(labels, sets["o"] == labels["node"]).groupBy("short").agg(F.min(F.xxhash64("comp")).alias("d"))
+            comp = sets.join(sent(labels, n_labels), sets["o"] == labels["node"])
+            comp = sent(comp.groupBy("short").agg(F.min(F.xxhash64("comp")).alias("d")), n_labels)
             owners = owners.join(comp, owners["o"] == comp["short"], "left").select("o", "es", "least", F.coalesce("d", "o").alias("c"))
         if stars:  # a star around one owner of each entry, over few entries of each owner
             few = F.slice(F.sort_array(F.transform("es", lambda e: F.struct(F.xxhash64(e).alias("h"), e.alias("e")))), 1, LIGHT)
@@ -349,19 +354,26 @@ def link(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "d
             met = now.join(other, (F.col("e") == F.col("f")) & (F.col("o") < F.col("p")) & (F.col("c") != F.col("d")) & sizes & able & listed)
             pairs = met.select(F.col("o").alias("x"), F.col("p").alias("y")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
+            pairs = pairs.join(sent(tested, n_tested), ["x", "y"], "left_anti")
         pairs = store(pairs)
-        some = not pairs.isEmpty()
+        if not stars:
+            drop_stored(now)
+        n_pairs = pairs.count()
+        some = n_pairs > 0
         if some:
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = store(_verified(pairs, sets, percent))
+            tested, n_tested = pairs if tested is None else tested.unionByName(pairs), n_tested + n_pairs
+            found = store(_verified(pairs, n_pairs, sets, percent))
             some = not found.isEmpty()
         if some:
             edges = found if edges is None else edges.unionByName(found)
+            if labels is not None:
+                drop_stored(labels)
             labels = components(edges)
+            n_labels = labels.count()
         if not stars:
             break
         turn, stars = turn + 1, some
+    drop_stored(*(x for x in (lists, sets, tested, edges) if x is not None))
 
     classes = facts.where("o is not null").groupBy("o").agg(F.min("id").alias("least"))
     if labels is not None:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import zlib
 
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from priorform.llm import bpe, jaccard, langid, licenses, mil, nndescent, pitman, shards, winnow, wordpiece
+from priorform.llm import _common, bpe, jaccard, langid, licenses, mil, nndescent, pitman, shards, winnow, wordpiece
 from priorform.llm._common import LOWER, word_hashes
 from priorform.llm.components import components
 
@@ -568,3 +569,16 @@ def test_parity_sketches_differ_in_no_more_bits_than_sets_in_tokens():
         differ = sum(int(x).bit_count() for x in (jaccard.parity_sketch(a) ^ jaccard.parity_sketch(b)).view(np.uint64))
         apart = len(np.setxor1d(a, b))
         assert differ <= apart and (differ - apart) % 2 == 0 and (n != 300 or differ > 0.9 * apart)
+
+
+def test_few_links_leave_no_rounds_behind(spark):
+    """Rounds over few links are gathered, and stages that nothing reads any more are deleted."""
+    folder = _common.shared_folder(spark).split(":")[-1]
+    before = set(os.listdir(folder))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    found = components(links)
+    assert found.where("comp = 0").count() == 41
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1
+    files = [f for f in os.listdir(f"{folder}/{left.pop()}") if f.endswith(".parquet")]
+    assert len(files) <= 2  # not one for each shuffle partition
