@@ -582,3 +582,13 @@ def test_few_links_leave_no_rounds_behind(spark):
     assert len(left) == 1
     files = [f for f in os.listdir(f"{folder}/{left.pop()}") if f.endswith(".parquet")]
     assert len(files) <= 2  # not one for each shuffle partition
+
+
+def test_tokens_of_a_chunk_are_packed_by_frequency():
+    rng = np.random.default_rng(1)
+    tokens = rng.permutation(3_000)[rng.zipf(1.3, 50_000) % 3_000]
+    order, packed = pitman.pack_tokens(tokens, 3_000)
+    assert (pitman.unpack_tokens(order, packed) == tokens).all()
+    assert len(order) + len(packed) < len(pitman.pack(tokens.astype(np.uint32)))
+    empty = np.zeros(0, np.int64)
+    assert not len(pitman.unpack_tokens(*pitman.pack_tokens(empty, 1)))
