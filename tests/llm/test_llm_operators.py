@@ -425,6 +425,18 @@ def test_model_knows_all_pairs_as_one_process_does(spark):
     assert sum(rows[i]["score"] for i in range(100, 140)) > 0.9 * sum(rows[i]["base_score"] for i in range(100, 140))
 
 
+def test_rare_words_are_seated_in_every_sweep_as_frequent_ones(spark):
+    """Whether a word is broadcast or met in joins, its tables and probabilities are those of each sweep, so scores are the same."""
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 60}" for _ in range(40))) for i in range(60)]
+    docs = make(spark, texts)
+    whole, mixed, rare = (by_id(pitman.score(docs, docs["doc_id"] < 50, head=x)) for x in (1e-9, 0.02, 1.0))
+    for i, _ in texts:
+        for some in (mixed, rare):
+            assert some[i]["score"] == pytest.approx(whole[i]["score"], rel=1e-9)
+            assert (some[i]["n_known"], some[i]["base_score"]) == (whole[i]["n_known"], pytest.approx(whole[i]["base_score"]))
+
+
 def test_sorted_keys_come_back():
     rng = np.random.default_rng(4)
     for n in (1, 2, 50, 5000):
