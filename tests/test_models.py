@@ -2,9 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from priorform.operators import models
+from priorform.operators import forest, models
 from priorform.operators.lsh import lsh_nearest
 from priorform.operators.neighbours import _asked, _dealt, class_shares, nearest, routes, vote
 
@@ -118,6 +121,46 @@ def test_importances_sum_to_one(spark):
     assert sum(got.values()) == pytest.approx(1.0) and got["x"] > got["z"]
 
 
+def forest_rows(spark, n=1500):
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(n):
+        a, b, c, few = rnd.gauss(0, 1), rnd.gauss(0, 1), rnd.expovariate(1), rnd.randrange(4)
+        rows.append((a, b, c, few, "yes" if 2 * a + few + rnd.gauss(0, 0.5) > 1 else "no", 3 * c + b + rnd.gauss(0, 0.2)))
+    return spark.createDataFrame(rows, "a double, b double, c double, few int, word string, number double")
+
+
+@pytest.mark.parametrize("response", ["word", "number"])
+def test_forests_weigh_predictors_as_those_of_spark(spark, monkeypatch, response):
+    """The same method without a stored weight per row and tree, which Spark keeps in memory or on disk while it fits."""
+    df, columns = forest_rows(spark), ["a", "b", "c", "few"]
+    data = VectorAssembler(inputCols=columns, outputCol="features").transform(df)
+    if response == "word":
+        data = StringIndexer(inputCol="word", outputCol="label").fit(data).transform(data)
+        model = RandomForestClassifier(numTrees=100, seed=1).fit(data)
+    else:
+        model = RandomForestRegressor(labelCol="number", numTrees=100, seed=1).fit(data)
+    want = dict(zip(columns, model.featureImportances.toArray()))
+
+    def refused(*_, **__):
+        raise AssertionError("a weight per row and tree")
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", refused)
+    monkeypatch.setattr(RandomForestRegressor, "fit", refused)
+    found = models.forest_importance(df, columns, response, categorical=response == "word")
+    got = {r["predictor"]: r["importance"] for r in found.collect()}
+    assert sum(got.values()) == pytest.approx(1.0)
+    assert all(got[c] == pytest.approx(want[c], abs=0.05) for c in columns), (got, want)
+
+
+def test_forest_does_not_depend_on_how_many_trees_are_counted_at_once(spark, monkeypatch):
+    df = forest_rows(spark, 300).coalesce(1)
+    fit = lambda: {r["predictor"]: r["importance"] for r in models.forest_importance(df, ["a", "c"], "word", categorical=True, trees=5).collect()}
+    whole = fit()
+    monkeypatch.setattr(forest, "COUNTED", 1)
+    assert fit() == pytest.approx(whole)
+
+
 def clustered(spark, n=1500, dims=16, seed=3):
     rng = np.random.default_rng(seed)
     centres = rng.normal(0, 10, (30, dims))
