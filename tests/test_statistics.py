@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -330,6 +331,19 @@ def test_screening_makes_its_rows_once(spark):
     assert made.value == 150
 
 
+def test_screening_grows_its_forest_without_stored_weights(spark, monkeypatch):
+    """Spark's forest keeps a weight per row and tree, and most of the time of a screening went into it."""
+
+    def refused(*_, **__):
+        raise AssertionError("a weight per row and tree")
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", refused)
+    rnd = random.Random(11)
+    rows = [(x := rnd.gauss(0, 1), rnd.gauss(0, 1), x + rnd.gauss(0, 0.3) > 0) for _ in range(200)]
+    got = {r["predictor"]: r["importance"] for r in report.screen_predictors(spark.createDataFrame(rows, "x double, z double, r boolean"), ["x", "z"], "r").collect()}
+    assert got["x"] + got["z"] == pytest.approx(1.0) and got["x"] > 0.8
+
+
 def test_forest_makes_its_rows_once(spark):
     rnd = random.Random(10)
     df, made = counted(spark.createDataFrame([(rnd.random(), i % 2) for i in range(80)], "x double, y int"))
